@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from . import ann, sharding, topk
+from . import ann, byte_bpe, sharding, simhash, substring, token_counts, topk
 
 QUERIES = {
     "op1_hypergeometric_sharding": sharding.op1_hypergeometric_sharding,
     "op2_threshold_topk": topk.op2_threshold_topk,
+    "op4_byte_bpe": byte_bpe.op4_byte_bpe,
     "op5_posting_list_ann": ann.op5_posting_list_ann,
+    "op6_relative_lz": substring.op6_relative_lz,
+    "op9_token_counts": token_counts.op9_token_counts,
+    "op10_simhash_mih": simhash.op10_simhash_mih,
 }
 
 ORACLE_SQL = {
