@@ -23,12 +23,12 @@ from pyspark.sql import types as T
 
 from .vectors import RESULT, matrix, ranked, table_of_vectors, usable
 
-#: Rows of the fit sample; rows a list should have; most centroids (with the
-#: graph, 65 + 16 numbers each, under 4 MB); rows and queries of one task.
-SAMPLE, LIST_ROWS, MAX_LISTS, PART_ROWS, PART_QUERIES = 20_000, 800, 4096, 8192, 2048
+#: Rows of the fit sample; most centroids (with the graph, 65 + 16 numbers
+#: each, under 4 MB); rows and queries of one task.
+SAMPLE, MAX_LISTS, PART_ROWS, PART_QUERIES = 20_000, 4096, 8192, 2048
 #: Copies of a boundary row, the distance ratio up to which it is copied, and
 #: the one up to which a query reads lists; walk width in centroids.
-REPLICAS, REPLICA_RATIO, QUERY_RATIO = 4, 1.06, 1.14
+REPLICAS, REPLICA_RATIO, QUERY_RATIO = 4, 1.06, 1.07
 
 
 def balanced_centroids(x: np.ndarray, lists: int, seed: int = 7) -> np.ndarray:
@@ -114,9 +114,10 @@ def chosen(dist: np.ndarray, ratio: float, most: int) -> list[np.ndarray]:
 class PostingIndex:
     """Centroids, their graph and the norm that rows are brought to."""
 
-    def __init__(self, sample: np.ndarray, rows: int, norm_sq: float, list_rows: int = LIST_ROWS):
+    def __init__(self, sample: np.ndarray, rows: int, norm_sq: float):
         self.norm_sq = norm_sq
-        lists = int(np.clip(2 ** round(math.log2(max(1, rows / list_rows))), 1, MAX_LISTS))
+        # As the root of the rows: the walk over centroids and the scan of lists grow alike.
+        lists = int(np.clip(2 ** round(math.log2(max(1.0, math.sqrt(rows) / 8))), 1, MAX_LISTS))
         self.centroids = balanced_centroids(self.lift(sample), lists)
         self.graph = neighbour_graph(self.centroids)
 
@@ -135,7 +136,7 @@ class PostingIndex:
         return chosen(walk(q, self.centroids, self.graph, width), ratio, width)
 
 
-def approximate_top_k(rows: DataFrame, queries: DataFrame, k: int = 20, *, sample: int = SAMPLE, ratio: float = QUERY_RATIO, list_rows: int = LIST_ROWS) -> DataFrame:
+def approximate_top_k(rows: DataFrame, queries: DataFrame, k: int = 20, *, sample: int = SAMPLE, ratio: float = QUERY_RATIO) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k best rows found.
 
     rows: ``vec_id`` long, ``v`` array of float or double, not null, finite and
@@ -157,7 +158,7 @@ def approximate_top_k(rows: DataFrame, queries: DataFrame, k: int = 20, *, sampl
     share = min(1.0, sample / n)
     fit = rows.where(F.pmod(F.xxhash64(F.lit(3), "vec_id", "v"), F.lit(1_000_000)) < int(share * 1_000_000)).limit(2 * sample).toArrow()
     x = matrix(fit, "v") if len(fit) else matrix(rows.limit(sample).toArrow(), "v")
-    index = spark.sparkContext.broadcast(PostingIndex(x, n, float(norm_sq), list_rows))
+    index = spark.sparkContext.broadcast(PostingIndex(x, n, float(norm_sq)))
     n_lists = len(index.value.centroids)
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
