@@ -103,7 +103,7 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
 
 
 def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """``df`` with ``fingerprint`` (16 hex digits) and ``component_id``.
+    """For every row its id, ``fingerprint`` (16 hex digits) and ``component_id``.
 
     Two rows link when their fingerprints differ in at most 3 of 64 bits; a
     component's id is the smallest ``id_col`` in it. Null and empty texts have
@@ -112,28 +112,28 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text: str = "text"
     Rows with one id and different texts keep their own components. Equal
     fingerprints are brought together before any pair is formed.
     """
-    df = df.drop("fingerprint", "component_id")
-    fp = free_name(df, "_fp")
-    named = df.withColumn(fp, F.arrow_udf(_fingerprints, "long")(col(text)))
-    narrow = stored(named.select(col(id_col).alias("id"), col(fp).alias("fp")), "fingerprints")
+    narrow = stored(df.select(col(id_col).alias("id"), F.arrow_udf(_fingerprints, "long")(col(text)).alias("fp")), "fingerprints")
     classes = stored(narrow.groupBy("fp").agg(F.min("id").alias("id")), "classes")
     labels = components(links(classes.select("fp")))
     rooted = classes.join(labels, F.col("fp") == F.col("node"), "left").select("fp", "id", F.coalesce("root", "fp").alias("root"))
     first = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
-    where = rooted.join(first, "root").select(F.col("fp").alias(fp), "component_id")
-    out = named.join(where, fp)
-    return out.select(*[col(c) for c in df.columns], F.lower(F.lpad(F.hex(col(fp)), 16, "0")).alias("fingerprint"), "component_id")
+    where = stored(rooted.join(first, "root").select("fp", "component_id"), "components")
+    return narrow.join(where, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_first(df: DataFrame, *, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each component: the one with the smallest id; of equal ids, one."""
-    found = near_duplicates(df, id_col=id_col, text=text)
-    order = [F.col(id_col).asc_nulls_last(), F.xxhash64(*hashable(df))]
-    mine = found.where(F.col(id_col).eqNullSafe(F.col("component_id")))
+    """One row of each component: the one with the smallest id.
+
+    Of rows that repeat that id one stays; rows without an id all stay, since
+    nothing tells them apart from one another.
+    """
+    firsts = near_duplicates(df, id_col=id_col, text=text).where("component_id is not null").select(F.col("component_id").alias(id_col)).distinct()
     rank = free_name(df, "_rank")
-    return mine.withColumn(rank, F.row_number().over(Window.partitionBy("component_id", id_col).orderBy(*order))).where(col(rank) == 1).select(*[col(c) for c in df.columns])
+    order = Window.partitionBy(id_col).orderBy(F.xxhash64(*hashable(df)))
+    kept = df.join(firsts, id_col, "left_semi").withColumn(rank, F.row_number().over(order)).where(col(rank) == 1)
+    return kept.select(*[col(c) for c in df.columns]).union(df.where(col(id_col).isNull()))
 
 
 def op10_simhash_mih(spark, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
-    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "fingerprint", "component_id")
+    return near_duplicates(table(spark, sf_dir, "documents"))

@@ -30,7 +30,7 @@ DISGUISE = str.maketrans("013457@$!|", "oieastasil")
 WORD = re.compile(r"[^\W_]+(?:[@$!|*._-]?[^\W_])*")
 PREFIXES = (4, 5)
 LEAST_TOXIC, LEAST_RATIO, MOST_ENTRIES = 4, 20.0, 500
-TREES, DEPTH, RATE, BINS, LEAF = 80, 3, 0.15, 32, 10
+TREES, DEPTH, RATE, BINS, LEAF, PARTS = 80, 3, 0.15, 32, 10, 3
 FOLDS, HELD = 4, 2
 REMEMBERED = 300_000
 
@@ -121,9 +121,10 @@ class Trees:
     """Gradient boosting with the logistic loss on binned features."""
 
     def __init__(self, x: np.ndarray, y: np.ndarray):
-        self.edges = [np.unique(np.quantile(c, np.linspace(0, 1, BINS + 1)[1:-1])) if len(c) else np.zeros(0) for c in x.T]
+        self.edges = [np.unique(np.quantile(c[c > 0], np.linspace(0, 1, BINS)[:-1])) - 1e-9 if (c > 0).any() else np.zeros(0) for c in x.T]
         base = np.clip(y.mean() if len(y) else 0.0, 1e-3, 1 - 1e-3)
         self.base, self.trees = float(np.log(base / (1 - base))), []
+        self.leaf = min(LEAF, max(3, len(x) // 50))
         b, f = self.binned(x), np.full(len(x), self.base)
         for _ in range(TREES if len(x) else 0):
             p = sigmoid(f)
@@ -132,12 +133,12 @@ class Trees:
             self.trees.append(tree)
 
     def binned(self, x: np.ndarray) -> np.ndarray:
-        # Quantile edges collapse for features that are mostly zero; 0 itself is an edge, so non-zero stands apart.
+        # Edges are quantiles of the values above zero, so zero has a bin of its own.
         return np.column_stack([np.searchsorted(e, c, side="left") for e, c in zip(self.edges, x.T, strict=True)]) if len(x) else np.zeros((0, len(self.edges)), int)
 
     def grow(self, b: np.ndarray, g: np.ndarray, h: np.ndarray, rows: np.ndarray, depth: int):
         value = RATE * g[rows].sum() / (h[rows].sum() + 1.0)
-        if depth == 0 or len(rows) < 2 * LEAF:
+        if depth == 0 or len(rows) < 2 * self.leaf:
             return float(value)
         best = (1e-6, None, None)
         total_g, total_h = g[rows].sum(), h[rows].sum()
@@ -145,7 +146,7 @@ class Trees:
             k = BINS + 1
             sg, sh, sn = (np.cumsum(np.bincount(b[rows, j], w, k))[:-1] for w in (g[rows], h[rows], np.ones(len(rows))))
             gain = sg**2 / (sh + 1) + (total_g - sg) ** 2 / (total_h - sh + 1) - total_g**2 / (total_h + 1)
-            gain[(sn < LEAF) | (len(rows) - sn < LEAF)] = -1
+            gain[(sn < self.leaf) | (len(rows) - sn < self.leaf)] = -1
             at = int(gain.argmax())
             if gain[at] > best[0]:
                 best = (float(gain[at]), j, at)
@@ -182,15 +183,18 @@ def isotonic(margin: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 class ToxicityModel:
     def __init__(self, texts: list[str], y: np.ndarray):
-        # The lexicon comes from one part, trees and calibration from rows that it has not seen.
-        part = np.arange(len(y)) % 4
-        pick = lambda keep: ([t for t, k in zip(texts, keep.tolist(), strict=True) if k], y[keep])
-        self.features = Features(learned(*pick(part < 2)))
-        x = self.features.matrix(texts)
-        self.trees = Trees(x[part == 2], y[part == 2])
-        held = part == 3
-        self.at, self.rate = isotonic(self.trees.margin(x[held]), y[held]) if held.any() else (np.zeros(1), np.zeros(1))
-        self.features.known = {}
+        # A row's features come from a lexicon that has not seen it, and so do the margins that are calibrated.
+        part = np.arange(len(y)) % PARTS
+        x = np.zeros((len(y), Features.COUNT))
+        for k in range(PARTS):
+            rest = np.flatnonzero(part != k)
+            x[part == k] = Features(learned([texts[i] for i in rest], y[rest])).matrix([texts[i] for i in np.flatnonzero(part == k)])
+        margin = np.zeros(len(y))
+        for k in range(PARTS):
+            margin[part == k] = Trees(x[part != k], y[part != k]).margin(x[part == k])
+        self.at, self.rate = isotonic(margin, y) if len(y) else (np.zeros(1), np.zeros(1))
+        self.trees = Trees(x, y)
+        self.features = Features(learned(texts, y))
 
     def score(self, texts: list[str | None]) -> np.ndarray:
         margin = self.trees.margin(self.features.matrix(texts))
@@ -198,7 +202,7 @@ class ToxicityModel:
         return np.clip(0.999 * np.interp(margin, self.at, self.rate) + 0.001 * sigmoid(margin), 0, 1)
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = 12_000, **bounds) -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, rows: int = 8_000, **bounds) -> ToxicityModel:
     """The model of a bounded sample of labelled rows outside the held-out fold."""
     return ToxicityModel(*training_sample(docs, labels, "toxic", FOLDS, HELD, rows=rows, **bounds))
 
