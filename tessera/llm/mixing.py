@@ -68,7 +68,7 @@ def mix(df: DataFrame, *, size: str = "size", source: str = "source", key: tuple
     taken. An empty table gives an empty result; columns named like the new
     ones are replaced. Nothing here depends on partitions, so reruns agree.
     """
-    new = ("source_size", "target", "taken", "times", "offset")
+    new = ("source_size", "target", "taken", "times")
     df = df.drop(*new)
     rank = F.md5(F.concat_ws("|", F.lit(seed), *[F.coalesce(col(k).cast("string"), F.lit("")) for k in key]))
     # Equality of plain keys lets the window and the join on it share one exchange; null has a key too.
@@ -91,7 +91,7 @@ def mix(df: DataFrame, *, size: str = "size", source: str = "source", key: tuple
 
     turns = F.sequence(F.lit(0), F.lit(repeats - 1))
     # A document without words takes no room; it goes with its place in the queue.
-    finish = lambda turn: (F.col("_end") + turn * F.col("source_size")) / F.col("target")
+    finish = lambda turn: F.try_divide((F.col("_end") + turn * F.col("source_size")).cast("double"), F.col("target"))
     slot_of = lambda f: F.floor(F.least(f, F.lit(2.0)) * SLOTS)
     timed = placed(queue, "").where("target > 0")
     timed = stored(timed.select("source", "size", "rank", F.explode(turns).alias("turn"), "_end", "source_size", "target").select("source", "size", "rank", finish(F.col("turn")).alias("finish")), "timed")
@@ -123,12 +123,13 @@ def mix(df: DataFrame, *, size: str = "size", source: str = "source", key: tuple
         behind = F.when(f != at, f < at).when(later(source_c, cut[1]), False).when(earlier(source_c, cut[1]), True).when(rank_c != cut[2], rank_c < cut[2]).otherwise(size_c <= cut[3])
         return whole | ((slot_of(f) == slot) & behind)
 
-    rows = df.withColumns({"_source": col(source), "_lane": lane(col(source)), "_size": col(size).cast("long"), "_rank": rank, "_slice": F.substring(rank, 1, SLICE_DIGITS)})
+    # The caller's columns travel in one struct, so no name of theirs can clash.
+    rows = df.select(F.struct(*map(col, df.columns)).alias("row"), col(source).alias("_source"), lane(col(source)).alias("_lane"), col(size).cast("long").alias("_size"), rank.alias("_rank"), F.substring(rank, 1, SLICE_DIGITS).alias("_slice"))
     out = placed(rows, "_")
     times = sum((F.coalesce(taken(finish(F.lit(i))), F.lit(False)).cast("int") for i in range(repeats)), F.lit(0))
     times = F.when(F.col("target") > 0, times).otherwise(0)
     out = out.withColumn("times", times)
-    return out.select(*[col(c) for c in df.columns], "source_size", "target", (F.col("times") * F.col("_size")).alias("taken"), "times")
+    return out.select("row.*", "source_size", "target", (F.col("times") * F.col("_size")).alias("taken"), "times")
 
 
 def op8_weighted_fair_queueing(spark, sf_dir: str) -> DataFrame:

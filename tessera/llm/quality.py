@@ -124,7 +124,7 @@ class Network:
 
     def __init__(self, x: np.ndarray, y: np.ndarray, seed: int = 3):
         rng = np.random.default_rng(seed)
-        self.mean, self.scale = x.mean(0), x.std(0) + 1e-6
+        self.mean, self.scale = (x.mean(0), x.std(0) + 1e-6) if len(x) else (np.zeros(x.shape[1]), np.ones(x.shape[1]))
         order = rng.permutation(len(x))
         back, used = order[: len(x) // 5], order[len(x) // 5 :]
         if not len(used):
@@ -132,7 +132,8 @@ class Network:
         d = x.shape[1]
         p = [rng.standard_normal((d, HIDDEN)) / np.sqrt(d), np.zeros(HIDDEN), rng.standard_normal((HIDDEN, 1)) / np.sqrt(HIDDEN), np.zeros(1)]
         self.p, self.temperature = p, 1.0
-        if not len(x):
+        if not len(x):  # without labels every score is one half
+            self.p = [np.zeros_like(a) for a in p]
             return
         z = (x - self.mean) / self.scale
         m, v, t = [np.zeros_like(a) for a in p], [np.zeros_like(a) for a in p], 0
@@ -206,4 +207,4 @@ def op7_quality(spark, sf_dir: str) -> DataFrame:
     """Quality of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = scored(docs, fit(docs, table(spark, sf_dir, "labels")))
-    return out.select("doc_id", (fold(F.col("doc_id"), FOLDS) == HELD).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return out.select("doc_id", fold(F.col("doc_id"), FOLDS).eqNullSafe(F.lit(HELD)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -170,27 +170,25 @@ def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text: str = "text",
     they a reference; rows that share an id are no reference to each other.
     """
     df = df.drop("n_words", "n_removed", "kept")
-    cast = df.withColumns({"id": col(id_col).cast("long"), "part": F.hash(col(text))}) if not {"id", "part"} & set(df.columns) else None
-    if cast is None:
-        raise ValueError("columns named id and part must be renamed first")
-    if text != "text":
-        raise ValueError("the text column must be named text")
-    docs = cast.where("id is not null")
+    # The caller's columns travel in one struct, so no name of theirs can clash; the text travels once.
+    others = [c for c in df.columns if c != text]
+    rows = df.select(col(id_col).cast("long").alias("id"), F.hash(col(text)).alias("part"), col(text).alias("text"), F.struct(*map(col, others)).alias("row"))
+    docs = rows.where("id is not null")
     full, single = repeated_windows(docs, window, gram)
-    runs = full.union(single).groupBy("id", "part").agg(F.collect_list(F.struct("first", "count")).alias("_runs"))
-    joined = docs.join(runs, ["id", "part"], "left").select(*[docs[c] for c in docs.columns], "_runs")
-    loose = cast.where("id is null").withColumn("_runs", F.lit(None).cast("array<struct<first:int,count:int>>"))
-    at, names = df.columns.index(text), list(df.columns)
+    runs = full.union(single).groupBy("id", "part").agg(F.collect_list(F.struct("first", "count")).alias("runs"))
+    joined = docs.join(runs, ["id", "part"], "left").select("text", "row", "runs")
+    loose = rows.where("id is null").select("text", "row", F.lit(None).cast("array<struct<first:int,count:int>>").alias("runs"))
+    names = list(df.columns)
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 1000):
-                part = batch.slice(lo, 1000)
+                texts, row, runs = batch.slice(lo, 1000).columns
                 total, gone, kept = [], [], []
-                for t, runs in zip(part.column(at), part.column(part.num_columns - 1), strict=True):
+                for t, found in zip(texts, runs, strict=True):
                     words = _words(t.as_py())
                     total.append(len(words))
-                    flat = runs.values if runs.is_valid else None
+                    flat = found.values if found.is_valid else None
                     if flat is not None and len(flat):
                         first, count = (flat.field(i).to_numpy().astype(np.int64) for i in (0, 1))
                         depth = np.zeros(len(words) + 1, np.int64)
@@ -200,7 +198,8 @@ def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text: str = "text",
                         words = [w for w, s in zip(words, stay.tolist(), strict=True) if s]
                     gone.append(total[-1] - len(words))
                     kept.append(b" ".join(words).decode())
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], names=[*names, "n_words", "n_removed", "kept"])
+                own = dict(zip(others, row.flatten(), strict=True)) | {text: texts}
+                yield pa.RecordBatch.from_arrays([*(own[n] for n in names), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], names=[*names, "n_words", "n_removed", "kept"])
 
     fields = [*df.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())]
     return joined.union(loose).mapInArrow(strip, T.StructType(fields))

@@ -228,4 +228,4 @@ def op3_toxicity(spark, sf_dir: str) -> DataFrame:
     """Toxicity of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = scored(docs, fit(docs, table(spark, sf_dir, "labels")))
-    return out.select("doc_id", (fold(F.col("doc_id"), FOLDS) == HELD).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+    return out.select("doc_id", fold(F.col("doc_id"), FOLDS).eqNullSafe(F.lit(HELD)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
