@@ -245,7 +245,8 @@ def run_backtest(
     folds = iter_folds(prices, splits, walk_forward_config, min_test_bars=min_test_bars)
     if not folds:
         raise ConfigError("no fold has enough bars before train_end")
-    sim = simulate(in_folds(bars, folds, in_sample=True), cost_model, cash=initial_cash)
+    # Five aggregates read the simulation; an executor that is lost recomputes its part.
+    sim = simulate(in_folds(bars, folds, in_sample=True), cost_model, cash=initial_cash).persist()
     outer = sim.where("fold_id >= 0")
     net, gross = F.col("net_return"), F.col("gross_return")
     regimes = {field: M.sharpe(F.when(F.col(dim) == label, net)) for dim, fields in REGIMES.items() if dim in bars.columns for label, field in fields.items()}
@@ -257,6 +258,7 @@ def run_backtest(
     w = Window.partitionBy("k").orderBy("ts")
     forward = bars.withColumn("forward", F.try_divide(F.lead("close").over(w), F.col("close")) - 1)
     ic = M.ic_summary(M.ic_series(forward, keys=keys)).first()
+    sim.unpersist()
     number = lambda v: math.nan if v is None else float(v)
     size = factor_complexity(node)
     dsr = math.nan
