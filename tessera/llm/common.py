@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import functools
 import re
 import tempfile
 import uuid
@@ -29,10 +30,12 @@ def shared_dir(spark: SparkSession) -> str:
     folder stands in.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='tessera-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    return found.rstrip("/") if found else _own_dir()
+
+
+@functools.cache
+def _own_dir() -> str:
+    return f"file://{tempfile.mkdtemp(prefix='tessera-')}"
 
 
 def _sweep() -> None:
