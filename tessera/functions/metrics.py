@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..errors import ConfigError
-from ..operators.stage import no_nan
+from ..operators.stage import correlation
 
 #: Bars of a year by frequency, the default, and the least deviation.
 PERIODS = {"1h": 8760.0, "4h": 2190.0, "1d": 365.0, "1w": 52.0}
@@ -124,7 +124,7 @@ def ic_series(df: DataFrame, *, keys: tuple[str, ...] = (), order: tuple[str, ..
     w = Window.partitionBy(*part).orderBy(*order).rowsBetween(1 - window, 0)
     a, b = F.col(f"_{factor}"), F.col(f"_{forward}")
     flat = (F.max(a).over(w) == F.min(a).over(w)) | (F.max(b).over(w) == F.min(b).over(w))
-    value = F.when((F.count(a).over(w) == window) & ~flat, no_nan(F.corr(a, b).over(w)))
+    value = F.when((F.count(a).over(w) == window) & ~flat, correlation(a, b, w))
     return rows.withColumn("ic", value).where("ic is not null").drop(f"_{factor}", f"_{forward}")
 
 

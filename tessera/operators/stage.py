@@ -29,6 +29,16 @@ def finite(x: Column) -> Column:
     return F.when(F.abs(x) < INF, x)
 
 
+def correlation(x: Column, y: Column, over=None) -> Column:
+    """Pearson's correlation where both are present; NULL without variance.
+
+    The built-in aggregate divides by zero there, which ANSI mode forbids.
+    """
+    x, y = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+    at = (lambda a: a.over(over)) if over is not None else (lambda a: a)
+    return no_nan(F.try_divide(at(F.covar_pop(x, y)), at(F.stddev_pop(x)) * at(F.stddev_pop(y))))
+
+
 def positive(name: str, value: int) -> int:
     if isinstance(value, bool) or not isinstance(value, int) or value <= 0:
         raise ConfigError(f"{name} must be a positive whole number, got {value!r}")

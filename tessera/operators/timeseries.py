@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from ..errors import ConfigError
 from .registry import register_operator
-from .stage import INF, Stage, no_nan, positive
+from .stage import INF, Stage, correlation, no_nan, positive
 
 
 
@@ -119,7 +119,7 @@ def _pair(name: str, value):
     return lower
 
 
-ts_corr = _pair("ts_corr", lambda s, x, y, n: F.when(_constant(s, x, n) | _constant(s, y, n), _null()).otherwise(F.corr(x, y).over(s.trailing(n))))
+ts_corr = _pair("ts_corr", lambda s, x, y, n: F.when(_constant(s, x, n) | _constant(s, y, n), _null()).otherwise(correlation(x, y, s.trailing(n))))
 ts_cov = _pair("ts_cov", lambda s, x, y, n: F.covar_samp(x, y).over(s.trailing(n)))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..errors import ConfigError
 from ..model import FactorNode, walk
+from ..operators.stage import correlation
 
 #: Limits of depth, nodes and features, and their shares of the scalar.
 MAX_DEPTH, MAX_NODES, MAX_FEATURES = 7, 30, 6
@@ -81,12 +82,12 @@ def behavioural_similarities(df: DataFrame, base: str, others: list[str]) -> lis
 
     One aggregate for all pairs; fewer than two shared rows or no variance: 0.
     """
-    pairs = [F.abs(F.corr(F.when(F.col(o).isNotNull(), F.col(base)), F.when(F.col(base).isNotNull(), F.col(o)))).alias(f"c{i}") for i, o in enumerate(others)]
-    row = df.agg(*[F.coalesce(F.nanvl(p, F.lit(0.0)), F.lit(0.0)) for p in pairs]).first()
+    pairs = [F.abs(correlation(F.col(base), F.col(o))).alias(f"c{i}") for i, o in enumerate(others)]
+    row = df.agg(*[F.coalesce(p, F.lit(0.0)) for p in pairs]).first()
     return [float(v) for v in row]
 
 
 def behavioural_similarity(a: DataFrame, b: DataFrame, *, on: str = "ts", value: str = "x") -> DataFrame:
     """One row: |Pearson| of two series over their shared timestamps."""
     joined = a.select(on, F.col(value).alias("_a")).join(b.select(on, F.col(value).alias("_b")), on).where("_a is not null and _b is not null")
-    return joined.agg(F.coalesce(F.nanvl(F.abs(F.corr("_a", "_b")), F.lit(0.0)), F.lit(0.0)).alias("similarity"))
+    return joined.agg(F.coalesce(F.abs(correlation(F.col("_a"), F.col("_b"))), F.lit(0.0)).alias("similarity"))
