@@ -183,3 +183,17 @@ def test_streaming_ingest_is_idempotent(spark, tmp_path):
         append_new(stream, f"file://{tmp_path}/bars", str(tmp_path / f"check-{run}"), keys=("k", "timestamp")).awaitTermination(120)
         bars = spark.read.parquet(str(tmp_path / "bars"))
         assert bars.count() == bars.select("k", "timestamp").distinct().count() == 18
+
+
+def test_bulk_download_goes_on_after_errors(spark, tmp_path, monkeypatch):
+    from tessera.sources import bulk
+
+    class Broken(Fake):
+        name = "broken"
+
+        def fetch(self, *a, **b):
+            raise OSError("no network")
+
+    monkeypatch.setattr(bulk, "iter_all_sources", lambda: iter([Broken(), Fake()]))
+    out = bulk.download_all(spark, f"file://{tmp_path}", START, START + timedelta(hours=3))
+    assert out["fake", "BTC/USD", "1h"] == "ok" and "no network" in out["broken", "BTC/USD", "1h"]
