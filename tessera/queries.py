@@ -378,7 +378,7 @@ def funding_charge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return costs.funding_charge(rows, CostModel()).select(F.round("charge", 6).alias("charge"))
 
 
-@query(f"SELECT {0.001!r} AS taker, {0.0002!r} AS maker, {20 / 10_000 / 365!r} AS borrow")
+@query(f"SELECT CAST(0.001 AS DOUBLE) AS taker, CAST(0.0002 AS DOUBLE) AS maker, CAST({20 / 10_000 / 365!r} AS DOUBLE) AS borrow")
 def fee_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = CostModel()
     return spark.range(1).select(F.lit(costs.fee_rate(m, is_taker=True)).alias("taker"), F.lit(costs.fee_rate(m, is_taker=False)).alias("maker"), F.lit(costs.borrow_rate_per_period(m, 365)).alias("borrow"))
