@@ -124,14 +124,11 @@ def repeated_windows(docs: DataFrame, window: int, gram: int) -> tuple[DataFrame
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["anchor", "whole", "first", "count", "id", "part"])
 
     index = stored(docs.select("id", "part", "text").mapInArrow(cut, "anchor long, whole long, first int, count int, id long, part int"), "blocks")
-    shared = (
-        index.groupBy("anchor")
-        .agg(F.min("id").alias("least"), F.max("id").alias("most"), F.min("whole").alias("w0"), F.max("whole").alias("w1"))
-        .where("least < most")
-        .select("anchor", (F.col("w0") < F.col("w1")).alias("varied"))
-    )
+    # Aggregates are stored before they are joined: both sides of the join are then plain exchanges, whose hot keys can be split.
+    ends = index.groupBy("anchor").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.min("whole").alias("w0"), F.max("whole").alias("w1"))
+    shared = stored(ends.where("least < most").select("anchor", (F.col("w0") < F.col("w1")).alias("varied")), "shared")
     known = stored(index.join(shared, "anchor"), "known")
-    owner = known.groupBy("anchor", "whole").agg(F.min("id").alias("owner"))
+    owner = stored(known.groupBy("anchor", "whole").agg(F.min("id").alias("owner")), "owners")
     parsed = known.join(owner, ["anchor", "whole"])
     full = parsed.where("owner < id").select("id", "part", "first", "count")
     # The first document with a block is where its windows may begin a factor from another block.
@@ -156,7 +153,7 @@ def repeated_windows(docs: DataFrame, window: int, gram: int) -> tuple[DataFrame
 
     kind = "anchor long, window long, id long, part int, first int"
     looked_up = stored(docs.select("id", "part", "text").join(edges, ["id", "part"]).select("id", "part", "text", "_edges").mapInArrow(windows, kind), "windows")
-    earliest = looked_up.groupBy("anchor", "window").agg(F.min("id").alias("owner"))
+    earliest = stored(looked_up.groupBy("anchor", "window").agg(F.min("id").alias("owner")), "earliest")
     single = looked_up.join(earliest, ["anchor", "window"]).where("owner < id").select("id", "part", "first", F.lit(1).alias("count"))
     return full, single
 
