@@ -48,6 +48,9 @@ def links(fingerprints: DataFrame, *, hot: int = HOT_BUCKET) -> DataFrame:
     fingerprint stands in two tables under its halves, and asks each table for
     the 33 values within one flip of its half. Matches are verified in full.
 
+    The planner doesn't know that probes are 66 times the rows they come from,
+    so the joins say that neither side is to be broadcast.
+
     A bucket with more than ``hot`` fingerprints is searched by a second index:
     its other halves are at most 3 bits apart, so of their four bytes one is
     equal; asking by byte splits the bucket and loses nothing.
@@ -60,11 +63,11 @@ def links(fingerprints: DataFrame, *, hot: int = HOT_BUCKET) -> DataFrame:
     pair = (F.col("asking").alias("a"), F.col("fp").alias("b"))
     crowded = stored(tables.groupBy("half", "key").count().where(F.col("count") > hot).select("half", "key"), "crowded")
     if crowded.isEmpty():
-        return tables.drop("other").join(probes.drop("other"), ["half", "key"]).where(close).select(*pair).distinct()
+        return tables.drop("other").join(probes.drop("other").hint("merge"), ["half", "key"]).where(close).select(*pair).distinct()
     by_byte = F.explode(F.array(*[F.struct(F.lit(j).alias("at"), F.shiftrightunsigned("other", 8 * j).bitwiseAND(F.lit(255)).alias("byte")) for j in range(4)])).alias("s")
-    cold = tables.join(crowded, ["half", "key"], "left_anti").drop("other").join(probes.drop("other"), ["half", "key"])
+    cold = tables.join(crowded, ["half", "key"], "left_anti").drop("other").join(probes.drop("other").hint("merge"), ["half", "key"])
     split = lambda d, c: d.join(crowded, ["half", "key"], "left_semi").select("half", "key", c, by_byte).select("half", "key", c, "s.at", "s.byte")
-    dense = split(tables, "fp").join(split(probes, "asking"), ["half", "key", "at", "byte"])
+    dense = split(tables, "fp").join(split(probes, "asking").hint("merge"), ["half", "key", "at", "byte"])
     return cold.where(close).select(*pair).union(dense.where(close).select(*pair)).distinct()
 
 
