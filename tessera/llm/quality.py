@@ -60,9 +60,12 @@ class Vectors:
     """Word vectors of the units of a bounded sample of texts."""
 
     def __init__(self, texts: list[str]):
-        tokens = [TOKEN.findall(t) for t in texts]
-        seen = Counter(u for ts in tokens for u in {p for t in set(ts) for p in parts(t)})
+        # Texts are cut anew in each pass, so that no more than a few texts' tokens are held.
+        seen: Counter = Counter()
+        for text in texts:
+            seen.update({p for t in set(TOKEN.findall(text)) for p in parts(t)})
         units = [u for u, n in seen.most_common(VOCABULARY) if n >= LEAST_DOCUMENTS] + ["^again", "^none"]
+        del seen
         self.rows = {u: i for i, u in enumerate(units)}
         at, sign = index_vectors(units)
         n, d = len(units), DIMENSIONS
@@ -70,8 +73,9 @@ class Vectors:
         np.add.at(own, (np.arange(n)[:, None], at), sign)
         context = np.zeros(n * d)
         other = self.rows["^none"]
-        for lo in range(0, len(tokens), 2000):
-            flat = np.array([self.rows.get(t.lower(), self.rows.get(shape(t), other)) for ts in tokens[lo : lo + 500] for t in (*ts, "^none")], np.int64)
+        for lo in range(0, len(texts), 500):
+            near = (self.rows.get(t.lower(), self.rows.get(shape(t), other)) for text in texts[lo : lo + 500] for t in (*TOKEN.findall(text), "^none"))
+            flat = np.fromiter(near, np.int64)
             for step in range(1, REACH + 1):
                 for a, b in ((flat[:-step], flat[step:]), (flat[step:], flat[:-step])):
                     for k in range(NONZERO):
