@@ -27,8 +27,8 @@ from pyspark.sql import types as T
 from .common import col, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
-#: Pieces that a worker remembers (about 250 bytes each) before it starts anew.
-REMEMBERED = 600_000
+#: Pieces that a worker remembers (about 250 bytes each) before it starts anew: 50 MB.
+REMEMBERED = 200_000
 
 
 def byte_characters() -> list[str]:

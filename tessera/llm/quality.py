@@ -27,7 +27,7 @@ DIMENSIONS, NONZERO, REACH = 64, 4, 2
 VOCABULARY, LEAST_DOCUMENTS = 8_000, 4
 HIDDEN, EPOCHS, BATCH, RATE, DECAY = 32, 30, 128, 5e-3, 1e-4
 FOLDS, HELD = 3, 1
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
 
 
