@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -15,20 +17,24 @@ from .common import WORD_BYTES, col, free_name, hashable, stored, table
 HOT_BUCKET = 1024
 
 
-def fingerprint(text: str, shingle: int = 3, seed: int = 42) -> int:
-    """64 majority bits over XXH64 of the text's word shingles; 0 without words."""
+def shingle_hashes(text: str, shingle: int, seed: int = 42) -> np.ndarray:
+    """XXH64 of each run of ``shingle`` words in lower case; of the whole text if it has no more."""
     words = WORD_BYTES.findall(text.encode().lower())
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined, n = b" ".join(words), len(words)
     digest = xxhash.xxh64_intdigest
     if n <= shingle:
-        return digest(joined, seed)  # one hash: its own majority
+        return np.array([digest(joined, seed)], np.uint64)
     lengths = np.fromiter(map(len, words), np.int64, n)
     ends = np.cumsum(lengths + 1) - 1
     starts = ends - lengths
     spans = zip(starts[: n - shingle + 1].tolist(), ends[shingle - 1 :].tolist(), strict=True)
-    hashes = np.fromiter((digest(joined[a:b], seed) for a, b in spans), np.uint64, n - shingle + 1)
+    return np.fromiter((digest(joined[a:b], seed) for a, b in spans), np.uint64, n - shingle + 1)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """64 majority bits; 0 without hashes."""
     counts = np.zeros(64, np.int64)
     for lo in range(0, len(hashes), 65_536):
         bits = np.unpackbits(hashes[lo : lo + 65_536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -36,6 +42,11 @@ def fingerprint(text: str, shingle: int = 3, seed: int = 42) -> int:
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint(text: str, shingle: int = 3, seed: int = 42) -> int:
+    """64 majority bits over XXH64 of the text's word shingles; 0 without words."""
+    return majority(shingle_hashes(text, shingle, seed))
+
+
 def _fingerprints(texts: pa.Array) -> pa.Array:
     raw = np.fromiter((fingerprint(t.as_py() or "") for t in texts), np.uint64, len(texts))
     return pa.array(raw.view(np.int64))
@@ -116,27 +127,136 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text: str = "text"
     fingerprints are brought together before any pair is formed.
     """
     narrow = stored(df.select(col(id_col).alias("id"), F.arrow_udf(_fingerprints, "long")(col(text)).alias("fp")), "fingerprints")
+    where = _component_of_fingerprints(narrow)
+    return narrow.join(where, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _component_of_fingerprints(narrow: DataFrame) -> DataFrame:
+    """fp, root, component_id of every distinct fingerprint of (id, fp)."""
     classes = stored(narrow.groupBy("fp").agg(F.min("id").alias("id")), "classes")
     labels = components(links(classes.select("fp")))
     rooted = classes.join(labels, F.col("fp") == F.col("node"), "left").select("fp", "id", F.coalesce("root", "fp").alias("root"))
     first = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
-    where = stored(rooted.join(first, "root").select("fp", "component_id"), "components")
-    return narrow.join(where, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return stored(rooted.join(first, "root").select("fp", "root", "component_id"), "components")
 
 
-def keep_first(df: DataFrame, *, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def keep_first(df: DataFrame, *, id_col: str = "doc_id", text: str = "text", similarity: float | None = None, shingle: int = 5) -> DataFrame:
     """One row of each component: the one with the smallest id.
 
-    Of rows that repeat that id one stays; rows without an id all stay, since
-    nothing tells them apart from one another.
+    Components are those of ``near_duplicates``, or with ``similarity`` those of
+    ``similar``. Of rows that repeat an id and a text one stays; other rows with
+    that id stay or go with their own components. Rows without an id all stay,
+    since nothing tells them apart from one another.
     """
-    firsts = near_duplicates(df, id_col=id_col, text=text).where("component_id is not null").select(F.col("component_id").alias(id_col)).distinct()
-    rank = free_name(df, "_rank")
-    order = Window.partitionBy(id_col).orderBy(F.xxhash64(*hashable(df)))
-    kept = df.join(firsts, id_col, "left_semi").withColumn(rank, F.row_number().over(order)).where(col(rank) == 1)
+    named = df.select(col(id_col).alias("id"), F.xxhash64(col(text)).alias("key"), col(text).alias("text"))
+    if similarity is None:
+        narrow = stored(named.select("id", "key", F.arrow_udf(_fingerprints, "long")("text").alias("fp")), "fingerprints")
+        rooted = narrow.join(_component_of_fingerprints(narrow).select("fp", "root"), "fp")
+    else:
+        rooted = similar(named, similarity, shingle)
+    least = F.min(F.struct("id", "key")).alias("first")
+    firsts = stored(rooted.where("id is not null").groupBy("root").agg(least).select(F.col("first.id").alias(id_col), "first.key").distinct(), "firsts")
+    rank, key = free_name(df, "_rank"), free_name(df, "_key")
+    keyed = df.withColumn(key, F.xxhash64(col(text))).join(firsts.withColumnRenamed("key", key), [id_col, key], "left_semi")
+    order = Window.partitionBy(id_col, key).orderBy(F.xxhash64(*hashable(df)))
+    kept = keyed.withColumn(rank, F.row_number().over(order)).where(col(rank) == 1)
     return kept.select(*[col(c) for c in df.columns]).union(df.where(col(id_col).isNull()))
 
 
+#: Of 144 least shingle hashes six at a time make a band: a pair of Jaccard 0.8
+#: has one of 24 bands in common with probability 0.9993, one of 0.9 with more.
+BANDS, BAND_ROWS = 24, 6
+_RNG = np.random.default_rng(20)
+_XOR, _ODD = (_RNG.integers(0, 1 << 64, BANDS * BAND_ROWS, np.uint64)[:, None] for _ in range(2))
+_ODD |= np.uint64(1)
+#: Members up to which all open pairs of a bucket are compared; pivots of larger ones.
+SMALL_BUCKET, PIVOTS = 64, 4
+#: Bits of 64 that the SimHash of a candidate pair may differ in. 9.7 of them
+#: do at Jaccard 0.8 where no shingle repeats; 26 is over five deviations more.
+CANDIDATE_BITS = 26
+
+
+def sketch(text: str, shingle: int) -> tuple[int, bytes, int, list[int]]:
+    """SimHash and digest of the set of shingles, its size, and its bands."""
+    found = np.unique(shingle_hashes(text, shingle))
+    if not len(found):
+        return 0, b"", 0, []
+    step = BANDS * BAND_ROWS if len(found) < 8192 else BAND_ROWS
+    least = np.concatenate([((found ^ _XOR[lo : lo + step]) * _ODD[lo : lo + step]).min(axis=1) for lo in range(0, len(_XOR), step)])
+    bands = [xxhash.xxh64_intdigest(b, k) for k, b in enumerate(map(bytes, least.reshape(BANDS, BAND_ROWS)))]
+    return majority(found), xxhash.xxh3_128_digest(found.tobytes()), len(found), np.array(bands, np.uint64).view(np.int64).tolist()
+
+
+def similar(named: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
+    """id, key, root: rows of (id, key, text) and their components.
+
+    Two rows link when the Jaccard similarity of their sets of word shingles is
+    ``similarity`` or more, computed from the texts. Candidates share a band of
+    least hashes; those whose SimHash is far apart are spared the comparison.
+    Equal sets are one node. Each bucket is first compared with one pivot; only
+    where that leaves it in several components, members of different ones are.
+    """
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 500):
+                part = batch.slice(lo, 500)
+                made = [sketch(t.as_py() or "", shingle) for t in part.column(2)]
+                fp, whole, size, bands = zip(*made, strict=True)
+                own = [pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(whole, pa.binary()), pa.array(size, pa.int32()), pa.array(bands, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([*part.columns, *own], names=["id", "key", "text", "fp", "whole", "size", "bands"])
+
+    kinds = f"id {named.schema['id'].dataType.simpleString()}, key long, text string, fp long, whole binary, size int, bands array<long>"
+    rows = stored(named.mapInArrow(cut, kinds).withColumn("row", F.monotonically_increasing_id()), "sketches")
+    nodes = stored(rows.groupBy("whole").agg(F.min("row").alias("node")), "nodes")
+    each = rows.join(nodes.select(F.col("node").alias("row")), "row", "left_semi").select(F.col("row").alias("node"), "fp", "size", F.posexplode("bands").alias("band", "value"))
+    buckets = stored(each, "bands")
+    pivot = buckets.groupBy("band", "value").agg(F.min(F.struct(F.xxhash64("node").alias("h"), "node", "fp", "size")).alias("p"), F.count("*").alias("n"))
+    pivot = stored(pivot.where("n > 1").select("band", "value", F.col("p.node").alias("a"), F.col("p.fp").alias("a_fp"), F.col("p.size").alias("a_size")), "pivots")
+    shared = stored(buckets.join(pivot, ["band", "value"]), "shared")
+    open_ = (F.bit_count(F.col("a_fp").bitwiseXOR(F.col("fp"))) <= CANDIDATE_BITS) & (F.least("a_size", "size") >= F.greatest("a_size", "size") * similarity)
+    pairs = shared.where(open_ & (F.col("a") != F.col("node"))).select("a", F.col("node").alias("b")).distinct()
+    linked = _verified(rows, pairs, similarity, shingle)
+    labels = stored(components(linked), "labels")
+    with_root = shared.select("band", "value", "node", "fp", "size").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    with_root = stored(with_root, "rooted")
+    mixed = with_root.groupBy("band", "value").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("n"), *[F.min(F.struct(F.xxhash64(F.lit(i), "band", "node").alias("h"), "node", "fp", "size", "root")).alias(f"p{i}") for i in range(PIVOTS)])
+    mixed = stored(mixed.where("r0 < r1").drop("r0", "r1"), "mixed")
+    few = with_root.join(mixed.where(F.col("n") <= SMALL_BUCKET).select("band", "value"), ["band", "value"], "left_semi")
+    others = few.select("band", "value", F.col("node").alias("a"), F.col("fp").alias("a_fp"), F.col("size").alias("a_size"), F.col("root").alias("a_root"))
+    many = mixed.where(F.col("n") > SMALL_BUCKET).select("band", "value", F.explode(F.array(*[f"p{i}" for i in range(PIVOTS)])).alias("p"))
+    many = with_root.join(many.select("band", "value", F.col("p.node").alias("a"), F.col("p.fp").alias("a_fp"), F.col("p.size").alias("a_size"), F.col("p.root").alias("a_root")), ["band", "value"])
+    again = few.join(others, ["band", "value"]).where("a < node").unionByName(many).where(open_ & (F.col("a_root") != F.col("root")))
+    more = again.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
+    labels = components(linked.union(_verified(rows, more, similarity, shingle)))
+    rooted = nodes.join(labels, "node", "left").select("whole", F.coalesce("root", "node").alias("root"))
+    return rows.select("id", "key", "whole").join(stored(rooted, "roots"), "whole").select("id", "key", "root")
+
+
+def _verified(rows: DataFrame, pairs: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """The pairs (a, b) of row numbers whose texts are as similar."""
+    pairs = stored(pairs, "pairs")
+    wanted = pairs.select(F.col("a").alias("row")).union(pairs.select(F.col("b").alias("row"))).distinct()
+    texts = stored(rows.select("row", "text").join(wanted, "row", "left_semi"), "candidates")
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, mine = None, np.zeros(0, np.uint64)
+        for batch in batches:
+            a, b, keep = batch.column(0).to_numpy(), batch.column(1).to_numpy(), []
+            for i in range(batch.num_rows):
+                if a[i] != last:
+                    last, mine = a[i], np.unique(shingle_hashes(batch.column(2)[i].as_py(), shingle))
+                other = np.unique(shingle_hashes(batch.column(3)[i].as_py(), shingle))
+                both = len(np.intersect1d(mine, other, assume_unique=True))
+                keep.append(both >= similarity * (len(mine) + len(other) - both))
+            at = np.flatnonzero(keep)
+            yield pa.RecordBatch.from_arrays([pa.array(a[at]), pa.array(b[at])], names=["a", "b"])
+
+    right = pairs.join(texts.select(F.col("row").alias("b"), F.col("text").alias("b_text")).hint("merge"), "b")
+    met = right.join(texts.select(F.col("row").alias("a"), F.col("text").alias("a_text")).hint("merge"), "a").select("a", "b", "a_text", "b_text")
+    return stored(met.mapInArrow(check, "a long, b long"), "verified")
+
+
 def op10_simhash_mih(spark, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     return near_duplicates(table(spark, sf_dir, "documents"))
