@@ -188,17 +188,27 @@ def approximate_top_k(rows: DataFrame, queries: DataFrame, k: int = 20, *, sampl
         if len(a) and len(b):
             xs, qs = matrix(a, "v").astype(np.float64), matrix(b, "v").astype(np.float64)
             ids, q_ids = a.column("vec_id").to_numpy(), b.column("query_id").to_numpy()
+            own, of = np.unique(ids, return_inverse=True)
+            repeated = len(own) < len(ids)
             for lo in range(0, len(qs), 256):
                 scores = qs[lo : lo + 256] @ xs.T
                 for i, row in enumerate(scores, lo):
                     row[ids == q_ids[i]] = -np.inf
+                    if repeated:  # an id's best row stands for it before the cut
+                        best_of = np.full(len(own), -np.inf)
+                        np.maximum.at(best_of, of, row)
+                    else:
+                        best_of = row
                     # The product's last bits depend on its shape: keep what may tie, then score plainly.
-                    kth = np.partition(row, -k)[-k] if len(row) > k else -np.inf
+                    kth = np.partition(best_of, -k)[-k] if len(best_of) > k else -np.inf
                     sel = np.flatnonzero((row >= kth - 1e-9 * (1 + abs(kth)) if np.isfinite(kth) else np.isfinite(row)) & np.isfinite(row))
-                    if len(sel) > 4 * k:  # many ties: equal rows score alike, so the smallest ids stand for them
+                    if len(sel) > 4 * k and not repeated:  # many ties: equal rows score alike, so the smallest ids stand for them
                         sel = sel[np.lexsort((ids[sel], -(xs[sel] * qs[i]).sum(axis=1)))[:k]]
                     plain = (xs[sel] * qs[i]).sum(axis=1)
-                    top = np.lexsort((ids[sel], -plain))[:k]
+                    top = np.lexsort((ids[sel], -plain))
+                    if repeated:
+                        top = top[np.sort(np.unique(ids[sel][top], return_index=True)[1])]
+                    top = top[:k]
                     out.append((np.full(len(top), q_ids[i]), ids[sel][top], plain[top]))
         cols = [np.concatenate(p) for p in zip(*out, strict=True)] if out else [np.empty(0)] * 3
         return pa.table({"query_id": pa.array(cols[0].astype(np.int64)), "vec_id": pa.array(cols[1].astype(np.int64)), "score": pa.array(cols[2].astype(np.float64))})
