@@ -225,7 +225,7 @@ def schema_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT count(*) AS n FROM (SELECT event_type, date_trunc('hour', ts), count(*) FROM events GROUP BY 1, 2)")
 def ohlcv_validated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Resampled bars keep the rules of their schema."""
+    """Resampled bars keep the rules of their schema, but for positive prices, which the tape may break."""
     table = bars(spark, sf_dir).withColumn("timestamp", F.col("ts").cast("timestamp")).drop("ts")
     rules = schemas.violations(table, schemas.OHLCV, keys=("k",)).where("rule <> 'prices must be positive'").agg(F.sum("n").alias("bad"))
     return table.agg(F.count("*").alias("n")).join(rules.where("bad = 0"), how="cross").select("n")
