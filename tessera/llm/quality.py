@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, free_name, table
+from .common import col, free_name, frugal, in_runs, small_batches, table
 from .supervised import fold, sigmoid, training_sample
 
 DIMENSIONS, NONZERO, REACH = 64, 4, 2
@@ -108,17 +108,23 @@ class Vectors:
             self.forget()
         found, repeats, sizes = [], [], []
         for text in texts:
-            tokens = TOKEN.findall(text)
-            counts = Counter(tokens)
+            counts: Counter = Counter()
+            again, n, last = 0, 0, None
+            for tokens in in_runs(TOKEN, text):
+                counts.update(tokens)
+                n += len(tokens)
+                again += sum(map(eq, tokens, tokens[1:])) + (last is not None and bool(tokens) and tokens[0] == last)
+                last = tokens[-1] if tokens else last
             if missing := set(counts).difference(self.known):
                 self.learn(missing)
-            n = len(counts)
-            found.append((np.fromiter(map(self.known.__getitem__, counts), np.int64, n), np.fromiter(counts.values(), np.float64, n)))
-            repeats.append(sum(map(eq, tokens, tokens[1:])))
-            sizes.append(max(1, len(tokens)))
+            found.append((np.fromiter(map(self.known.__getitem__, counts), np.int64, len(counts)), np.fromiter(counts.values(), np.float64, len(counts))))
+            repeats.append(again)
+            sizes.append(max(1, n))
         if not self.summed:
             return np.zeros((len(texts), DIMENSIONS))
-        weights = np.array([np.bincount(rows, w, len(self.summed)) for rows, w in found], np.float32)
+        weights = np.empty((len(found), len(self.summed)), np.float32)
+        for row, (at, times) in zip(weights, found, strict=True):
+            row[:] = np.bincount(at, times, len(row))
         total = weights @ np.array(self.summed) + 4 * np.array(repeats, np.float32)[:, None] * self.vectors[self.rows["^again"]]
         return total.astype(np.float64) / np.array(sizes)[:, None]
 
@@ -174,7 +180,7 @@ class QualityModel:
         self.vectors.forget()
 
     def _pooled(self, texts: list[str]) -> np.ndarray:
-        return np.vstack([np.zeros((0, DIMENSIONS)), *(self.vectors.pooled(texts[lo : lo + 200]) for lo in range(0, len(texts), 200))])
+        return np.vstack([np.zeros((0, DIMENSIONS)), *(self.vectors.pooled(texts[lo : lo + 64]) for lo in range(0, len(texts), 64))])
 
     def score(self, texts: list[str | None]) -> np.ndarray:
         return self.network.probability(self._pooled([t or "" for t in texts]))
@@ -188,21 +194,29 @@ def fit(docs: DataFrame, labels: DataFrame, **bounds) -> QualityModel:
 def scored(df: DataFrame, model: QualityModel, text: str = "text", name: str = "score") -> DataFrame:
     """``df`` with a score from 0 to 1 of every whole text; null counts as empty.
 
-    The model travels as a broadcast of bounded size (at most 8,000 vectors).
+    An empty text has the zero vector's score. Equal texts have equal scores. A
+    column called ``name`` is replaced, others stay; an empty table gives an
+    empty result. A long text is read in runs of its tokens, whole. The model
+    travels as a broadcast of bounded size (at most 8,000 vectors).
     """
-    sent = df.sparkSession.sparkContext.broadcast(model)
+    sent = small_batches(df).sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            out = [sent.value.score(texts.slice(lo, 200).to_pylist()) for lo in range(0, len(texts), 200)]
+            out = [sent.value.score(texts.slice(lo, 64).to_pylist()) for lo in range(0, len(texts), 64)]
             yield pa.array(np.concatenate([np.empty(0), *out]))
 
-    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return df.withColumn(name, F.arrow_udf(run, "double")(col(text)))
+    task = frugal(run, lambda: sent.value.vectors.forget())
+    task.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return df.withColumn(name, F.arrow_udf(task, "double")(col(text)))
 
 
 def accepted(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
-    """The documents that the classifier does not reject, with their own columns."""
+    """The documents that the classifier does not reject, with their own columns.
+
+    Null and empty texts are judged by the zero vector's score; without labels
+    every score is 0.5, so all stay.
+    """
     name = free_name(docs, "_score")
     return scored(docs, fit(docs, labels), name=name).where(col(name) >= least).drop(name)
 
