@@ -19,5 +19,6 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op2_threshold_topk": topk.OP2_SQL,
+    "op6_relative_lz": substring.OP6_SQL,
     "op8_weighted_fair_queueing": mixing.OP8_SQL,
 }
