@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, table
+from .common import col, frugal, in_runs, small_batches, table
 from .supervised import fold, sigmoid, training_sample
 
 #: Plain insults, and second-person words of the four languages.
@@ -59,16 +59,25 @@ def learned(texts: list[str], y: np.ndarray) -> frozenset[str]:
             clean.update(entries)
     scale = max(1, len(y) - toxic) / max(1, toxic)
     open_to = {e: at for e, at in where.items() if len(at) >= LEAST_TOXIC and len(at) * scale / (clean[e] + 0.5) >= LEAST_RATIO}
+    holds: dict[int, list[str]] = {}
+    for e, at in open_to.items():
+        for i in at:
+            holds.setdefault(i, []).append(e)
     found: list[str] = []
     for _ in range(2):
-        left = {i for at in where.values() for i in at}
-        rest = {e: at for e, at in open_to.items() if e not in found}
-        while rest and len(found) < MOST_ENTRIES:
-            gain, _, e = max((len(at & left), len(at), e) for e, at in rest.items())
-            if gain < LEAST_TOXIC:
+        left = set(holds)
+        # Texts that an entry would newly cover; kept up to date as texts are covered.
+        gain = {e: len(at) for e, at in open_to.items() if e not in found}
+        while gain and len(found) < MOST_ENTRIES:
+            e = max(gain, key=lambda e: (gain[e], len(open_to[e]), e))
+            if gain.pop(e) < LEAST_TOXIC:
                 break
             found.append(e)
-            left -= rest.pop(e)
+            for i in open_to[e] & left:
+                left.discard(i)
+                for other in holds[i]:
+                    if other in gain:
+                        gain[other] -= 1
     return frozenset(found)
 
 
@@ -89,14 +98,15 @@ class Features:
     def of(self, text: str) -> list[float]:
         if not text:
             return [0.0] * self.COUNT
-        tokens = WORD.findall(text)
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        known = self.known
-        for t in set(tokens).difference(known):
-            known[t] = self.kind(t)
-        kinds = np.fromiter(map(known.__getitem__, tokens), np.uint8, len(tokens))
-        n, size = max(1, len(tokens)), len(text)
+        known, runs = self.known, []
+        for tokens in in_runs(WORD, text):
+            for t in set(tokens).difference(known):
+                known[t] = self.kind(t)
+            runs.append(np.fromiter(map(known.__getitem__, tokens), np.uint8, len(tokens)))
+        kinds = np.concatenate([np.empty(0, np.uint8), *runs])
+        n, size = max(1, len(kinds)), len(text)
         rude, you = np.flatnonzero(kinds & 7), np.flatnonzero(kinds & 8)
         near = 0.0
         if len(rude) and len(you):
@@ -167,18 +177,29 @@ class Trees:
         return self.base + sum((self.walk(t, b) for t in self.trees), np.zeros(len(x)))
 
 
-def isotonic(margin: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pool-adjacent-violators: block centres and rising rates, to interpolate between."""
-    order = np.argsort(margin, kind="stable")
-    blocks: list[list[float]] = []  # rate, weight, sum of margins
-    for m, t in zip(margin[order].tolist(), y[order].tolist(), strict=True):
-        blocks.append([t, 1.0, m])
+def pooled(rate: np.ndarray, weight: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pool-adjacent-violators: neighbours whose rates do not rise become one block."""
+    blocks: list[list[float]] = []  # rate, weight, place
+    for r, w, m in zip(rate.tolist(), weight.tolist(), at.tolist(), strict=True):
+        blocks.append([r, w, m])
         while len(blocks) > 1 and blocks[-2][0] >= blocks[-1][0]:
-            r, w, s = blocks.pop()
-            q = blocks[-1]
-            blocks[-1] = [(q[0] * q[1] + r * w) / (q[1] + w), q[1] + w, q[2] + s]
-    # A block of few rows is no proof of 0 or 1.
-    return np.array([s / w for _, w, s in blocks]), np.array([(r * w + 0.02) / (w + 0.1) if w < 20 else r for r, w, _ in blocks])
+            r1, w1, m1 = blocks.pop()
+            r0, w0, m0 = blocks[-1]
+            blocks[-1] = [(r0 * w0 + r1 * w1) / (w0 + w1), w0 + w1, (m0 * w0 + m1 * w1) / (w0 + w1)]
+    return tuple(np.array(x, np.float64) for x in zip(*blocks, strict=True)) if blocks else (np.empty(0),) * 3
+
+
+def isotonic(margin: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Block centres and rising rates, to interpolate between.
+
+    Rows with one margin are one block from the start. A block of few rows is
+    no proof of 0 or 1, so its rate is drawn inwards; the blocks are then
+    pooled again, since that may break their order.
+    """
+    at, which, n = np.unique(margin, return_inverse=True, return_counts=True)
+    rate, weight, at = pooled(np.bincount(which, y, len(at)) / n, n.astype(np.float64), at)
+    rate, _, at = pooled(np.where(weight < 20, (rate * weight + 0.02) / (weight + 0.1), rate), weight, at)
+    return at, rate
 
 
 class ToxicityModel:
@@ -210,18 +231,22 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = 8_000, **bounds) -> Toxi
 def scored(df: DataFrame, model: ToxicityModel, text: str = "text", name: str = "score") -> DataFrame:
     """``df`` with a score from 0 to 1 of every whole text; null counts as empty.
 
-    The model travels as a broadcast of bounded size (a lexicon of at most
-    500 entries and 80 small trees).
+    An empty text has the score of all features at 0. Equal texts have equal
+    scores. A column called ``name`` is replaced, others stay; an empty table
+    gives an empty result. A long text is read in runs of its tokens, whole. The
+    model travels as a broadcast of bounded size (a lexicon of at most 500
+    entries and 80 small trees).
     """
-    sent = df.sparkSession.sparkContext.broadcast(model)
+    sent = small_batches(df).sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
             out = [sent.value.score(texts.slice(lo, 500).to_pylist()) for lo in range(0, len(texts), 500)]
             yield pa.array(np.concatenate([np.empty(0), *out]))
 
-    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return df.withColumn(name, F.arrow_udf(run, "double")(col(text)))
+    task = frugal(run, lambda: sent.value.features.known.clear())
+    task.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return df.withColumn(name, F.arrow_udf(task, "double")(col(text)))
 
 
 def op3_toxicity(spark, sf_dir: str) -> DataFrame:
