@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, col, stored, table
+from .common import WORD, col, hashable, stored, table
 
 WEIGHTS = (3, 1, 2)
 #: Slices of a source's queue, three hex digits of the shuffle key, and slots
@@ -59,21 +59,25 @@ def targets(sizes: DataFrame, *, weights: tuple[float, ...] = WEIGHTS, share: fl
     )
 
 
-def mix(df: DataFrame, *, size: str = "size", source: str = "source", key: tuple[str, ...] = ("doc_id",), seed: str = "mix", weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, repeats: int = 2) -> DataFrame:
+def mix(df: DataFrame, *, size: str = "size", source: str = "source", key: tuple[str, ...] | None = None, seed: str = "mix", weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, repeats: int = 2) -> DataFrame:
     """``df`` with source_size, target, taken (words) and times (how often a row is taken).
 
-    ``size``: whole number, not null. ``key`` columns seed the shuffle; rows
-    equal in them and in size and source share a place in it. A row is taken 0
+    ``size``: whole number; null counts as 0. ``key`` columns, by default all,
+    seed the shuffle, so rows without an id or with one id spread like others;
+    rows equal in them and in size and source are interchangeable and follow
+    each other in it. A row is taken 0
     to ``repeats`` times. A source without words has target 0 and nothing
     taken. An empty table gives an empty result; columns named like the new
     ones are replaced. Nothing here depends on partitions, so reruns agree.
     """
     new = ("source_size", "target", "taken", "times")
     df = df.drop(*new)
-    rank = F.md5(F.concat_ws("|", F.lit(seed), *[F.coalesce(col(k).cast("string"), F.lit("")) for k in key]))
+    keys = [F.to_json(F.struct(*hashable(df)))] if key is None else [F.coalesce(col(k).cast("string"), F.lit("")) for k in key]
+    rank = F.md5(F.concat_ws("|", F.lit(seed), *keys))
+    words = F.coalesce(col(size).cast("long"), F.lit(0).cast("long"))
     # Equality of plain keys lets the window and the join on it share one exchange; null has a key too.
     lane = lambda c: F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit("-")).alias("lane")
-    queue = stored(df.select(col(source).alias("source"), lane(col(source)), col(size).cast("long").alias("size"), rank.alias("rank"), F.substring(rank, 1, SLICE_DIGITS).alias("slice")), "queue")
+    queue = stored(df.select(col(source).alias("source"), lane(col(source)), words.alias("size"), rank.alias("rank"), F.substring(rank, 1, SLICE_DIGITS).alias("slice")), "queue")
     goal = targets(queue.groupBy("source").agg(F.sum("size").alias("source_size")), weights=weights, share=share, repeats=repeats)
     goal = stored(goal, "targets")
     slices = queue.groupBy("lane", "slice").agg(F.sum("size").alias("n"))
@@ -124,7 +128,7 @@ def mix(df: DataFrame, *, size: str = "size", source: str = "source", key: tuple
         return whole | ((slot_of(f) == slot) & behind)
 
     # The caller's columns travel in one struct, so no name of theirs can clash.
-    rows = df.select(F.struct(*map(col, df.columns)).alias("row"), col(source).alias("_source"), lane(col(source)).alias("_lane"), col(size).cast("long").alias("_size"), rank.alias("_rank"), F.substring(rank, 1, SLICE_DIGITS).alias("_slice"))
+    rows = df.select(F.struct(*map(col, df.columns)).alias("row"), col(source).alias("_source"), lane(col(source)).alias("_lane"), words.alias("_size"), rank.alias("_rank"), F.substring(rank, 1, SLICE_DIGITS).alias("_slice"))
     out = placed(rows, "_")
     times = sum((F.coalesce(taken(finish(F.lit(i))), F.lit(False)).cast("int") for i in range(repeats)), F.lit(0))
     times = F.when(F.col("target") > 0, times).otherwise(0)
@@ -134,14 +138,15 @@ def mix(df: DataFrame, *, size: str = "size", source: str = "source", key: tuple
 
 def op8_weighted_fair_queueing(spark, sf_dir: str) -> DataFrame:
     """Targets of all sources, and what the mix takes of every document."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("size"))
-    return mix(stored(docs, "sizes")).select("doc_id", "size", "source_size", "target", "taken")
+    text = F.coalesce("text", F.lit(""))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("size"), F.md5(F.encode(text, "UTF-8")).alias("digest"))
+    return mix(stored(docs, "sizes"), key=("doc_id", "digest")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 OP8_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-         md5('mix|' || coalesce(CAST(doc_id AS VARCHAR), '')) AS rank
+         md5('mix|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || md5(coalesce(text, ''))) AS rank
   FROM documents
 ), s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY encode(source) NULLS LAST) AS n FROM d GROUP BY source
