@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD_BYTES, col, free_name, hashable, stored, table
+from .common import WORD_BYTES, col, discard, free_name, frugal, give_back, hashable, small_batches, stored, table
 
 #: Distinct fingerprints of a bucket beyond which it is searched by bytes.
 HOT_BUCKET = 1024
@@ -47,9 +48,16 @@ def fingerprint(text: str, shingle: int = 3, seed: int = 42) -> int:
     return majority(shingle_hashes(text, shingle, seed))
 
 
-def _fingerprints(texts: pa.Array) -> pa.Array:
-    raw = np.fromiter((fingerprint(t.as_py() or "") for t in texts), np.uint64, len(texts))
-    return pa.array(raw.view(np.int64))
+def _fingerprint(text: Column) -> Column:
+    """The fingerprint of a text as a signed number."""
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield pa.array(np.fromiter((fingerprint(t.as_py() or "") for t in texts), np.uint64, len(texts)).view(np.int64))
+
+    task = frugal(run)
+    task.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(task, "long")(text)
 
 
 def links(fingerprints: DataFrame, *, hot: int = HOT_BUCKET) -> DataFrame:
@@ -95,18 +103,21 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
             both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).union(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
         else:
             both = e.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # Stored before the join, so that both sides are plain exchanges and the centre of a large star can be split.
+        least = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         met = both.join(least, "u")
         if large:
             out = met.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
         else:
             out = met.select(F.col("v").alias("a"), F.col("m").alias("b")).union(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
-        return out.where("a <> b").distinct()
+        made = stored(out.where("a <> b").distinct(), "stars")
+        discard(e, least)
+        return made
 
     edges = stored(edges, "links")
     state = None
     for _ in range(rounds):
-        edges = stored(star(star(edges, True), False), "stars")
+        edges = star(star(edges, True), False)
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == state:
             break
@@ -124,9 +135,10 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text: str = "text"
     fingerprint zero and link like others. A null id takes part in linking but
     is never a component's id (null only if the whole component has none).
     Rows with one id and different texts keep their own components. Equal
-    fingerprints are brought together before any pair is formed.
+    fingerprints are brought together before any pair is formed. Other columns
+    are ignored; an empty table gives an empty result.
     """
-    narrow = stored(df.select(col(id_col).alias("id"), F.arrow_udf(_fingerprints, "long")(col(text)).alias("fp")), "fingerprints")
+    narrow = stored(small_batches(df).select(col(id_col).alias("id"), _fingerprint(col(text)).alias("fp")), "fingerprints")
     where = _component_of_fingerprints(narrow)
     return narrow.join(where, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
@@ -135,8 +147,8 @@ def _component_of_fingerprints(narrow: DataFrame) -> DataFrame:
     """fp, root, component_id of every distinct fingerprint of (id, fp)."""
     classes = stored(narrow.groupBy("fp").agg(F.min("id").alias("id")), "classes")
     labels = components(links(classes.select("fp")))
-    rooted = classes.join(labels, F.col("fp") == F.col("node"), "left").select("fp", "id", F.coalesce("root", "fp").alias("root"))
-    first = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
+    rooted = stored(classes.join(labels, F.col("fp") == F.col("node"), "left").select("fp", "id", F.coalesce("root", "fp").alias("root")), "rooted")
+    first = stored(rooted.groupBy("root").agg(F.min("id").alias("component_id")), "first")
     return stored(rooted.join(first, "root").select("fp", "root", "component_id"), "components")
 
 
@@ -144,23 +156,28 @@ def keep_first(df: DataFrame, *, id_col: str = "doc_id", text: str = "text", sim
     """One row of each component: the one with the smallest id.
 
     Components are those of ``near_duplicates``, or with ``similarity`` those of
-    ``similar``. Of rows that repeat an id and a text one stays; other rows with
-    that id stay or go with their own components. Rows without an id all stay,
-    since nothing tells them apart from one another.
+    ``similar``. Rows without an id come after all that have one, in the order of
+    a hash of their text, so of a component without ids one row stays too. Of
+    rows that repeat an id and a text one stays; other rows with that id stay or
+    go with their own components. Null, empty and white texts are one component.
+    All columns of ``df`` stay; an empty table gives an empty result.
     """
-    named = df.select(col(id_col).alias("id"), F.xxhash64(col(text)).alias("key"), col(text).alias("text"))
+    named = small_batches(df).select(col(id_col).alias("id"), F.xxhash64(col(text)).alias("key"), col(text).alias("text"))
     if similarity is None:
-        narrow = stored(named.select("id", "key", F.arrow_udf(_fingerprints, "long")("text").alias("fp")), "fingerprints")
+        narrow = stored(named.select("id", "key", _fingerprint(F.col("text")).alias("fp")), "fingerprints")
         rooted = narrow.join(_component_of_fingerprints(narrow).select("fp", "root"), "fp")
     else:
         rooted = similar(named, similarity, shingle)
-    least = F.min(F.struct("id", "key")).alias("first")
-    firsts = stored(rooted.where("id is not null").groupBy("root").agg(least).select(F.col("first.id").alias(id_col), "first.key").distinct(), "firsts")
-    rank, key = free_name(df, "_rank"), free_name(df, "_key")
-    keyed = df.withColumn(key, F.xxhash64(col(text))).join(firsts.withColumnRenamed("key", key), [id_col, key], "left_semi")
-    order = Window.partitionBy(id_col, key).orderBy(F.xxhash64(*hashable(df)))
-    kept = keyed.withColumn(rank, F.row_number().over(order)).where(col(rank) == 1)
-    return kept.select(*[col(c) for c in df.columns]).union(df.where(col(id_col).isNull()))
+    # Plain keys for ids that may be null; those sort last.
+    least = F.min(F.struct(F.col("id").isNull().alias("loose"), "id", "key")).alias("first")
+    loose, plain, key, rank = (free_name(df, n) for n in ("_loose", "_plain", "_key", "_rank"))
+    zero = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    firsts = rooted.groupBy("root").agg(least).select(F.col("first.loose").alias(loose), zero(F.col("first.id")).alias(plain), F.col("first.key").alias(key)).distinct()
+    firsts = stored(firsts, "firsts")
+    keyed = df.select("*", col(id_col).isNull().alias(loose), zero(col(id_col)).alias(plain), F.xxhash64(col(text)).alias(key))
+    met = keyed.join(firsts, [loose, plain, key], "left_semi")
+    order = Window.partitionBy(loose, plain, key).orderBy(F.xxhash64(*hashable(df)))
+    return met.withColumn(rank, F.row_number().over(order)).where(col(rank) == 1).select(*[col(c) for c in df.columns])
 
 
 #: Of 144 least shingle hashes six at a time make a band: a pair of Jaccard 0.8
@@ -169,8 +186,9 @@ BANDS, BAND_ROWS = 24, 6
 _RNG = np.random.default_rng(20)
 _XOR, _ODD = (_RNG.integers(0, 1 << 64, BANDS * BAND_ROWS, np.uint64)[:, None] for _ in range(2))
 _ODD |= np.uint64(1)
-#: Members up to which all open pairs of a bucket are compared; pivots of larger ones.
-SMALL_BUCKET, PIVOTS = 64, 4
+#: Members up to which the open pairs of a bucket are listed; a larger one is
+#: compared in blocks of so many members a side.
+SMALL_BUCKET, BLOCK = 64, 512
 #: Bits of 64 that the SimHash of a candidate pair may differ in. 9.7 of them
 #: do at Jaccard 0.8 where no shingle repeats; 26 is over five deviations more.
 CANDIDATE_BITS = 26
@@ -193,8 +211,10 @@ def similar(named: DataFrame, similarity: float = 0.8, shingle: int = 5) -> Data
     Two rows link when the Jaccard similarity of their sets of word shingles is
     ``similarity`` or more, computed from the texts. Candidates share a band of
     least hashes; those whose SimHash is far apart are spared the comparison.
-    Equal sets are one node. Each bucket is first compared with one pivot; only
-    where that leaves it in several components, members of different ones are.
+    Equal sets are one node. Each bucket is first compared with one pivot. Where
+    that leaves it in several components, members of different ones are all
+    compared: pair by pair in a small bucket, in blocks in a large one, so no
+    candidate is left out.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,7 +227,7 @@ def similar(named: DataFrame, similarity: float = 0.8, shingle: int = 5) -> Data
                 yield pa.RecordBatch.from_arrays([*part.columns, *own], names=["id", "key", "text", "fp", "whole", "size", "bands"])
 
     kinds = f"id {named.schema['id'].dataType.simpleString()}, key long, text string, fp long, whole binary, size int, bands array<long>"
-    rows = stored(named.mapInArrow(cut, kinds).withColumn("row", F.monotonically_increasing_id()), "sketches")
+    rows = stored(small_batches(named).mapInArrow(frugal(cut), kinds).withColumn("row", F.monotonically_increasing_id()), "sketches")
     nodes = stored(rows.groupBy("whole").agg(F.min("row").alias("node")), "nodes")
     each = rows.join(nodes.select(F.col("node").alias("row")), "row", "left_semi").select(F.col("row").alias("node"), "fp", "size", F.posexplode("bands").alias("band", "value"))
     buckets = stored(each, "bands")
@@ -217,20 +237,72 @@ def similar(named: DataFrame, similarity: float = 0.8, shingle: int = 5) -> Data
     open_ = (F.bit_count(F.col("a_fp").bitwiseXOR(F.col("fp"))) <= CANDIDATE_BITS) & (F.least("a_size", "size") >= F.greatest("a_size", "size") * similarity)
     pairs = shared.where(open_ & (F.col("a") != F.col("node"))).select("a", F.col("node").alias("b")).distinct()
     linked = _verified(rows, pairs, similarity, shingle)
+    discard(buckets, pivot)
     labels = stored(components(linked), "labels")
-    with_root = shared.select("band", "value", "node", "fp", "size").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    with_root = stored(with_root, "rooted")
-    mixed = with_root.groupBy("band", "value").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("n"), *[F.min(F.struct(F.xxhash64(F.lit(i), "band", "node").alias("h"), "node", "fp", "size", "root")).alias(f"p{i}") for i in range(PIVOTS)])
-    mixed = stored(mixed.where("r0 < r1").drop("r0", "r1"), "mixed")
-    few = with_root.join(mixed.where(F.col("n") <= SMALL_BUCKET).select("band", "value"), ["band", "value"], "left_semi")
+    rooted = shared.select("band", "value", "node", "fp", "size").join(labels, "node", "left")
+    rooted = stored(rooted.withColumn("root", F.coalesce("root", "node")), "rooted")
+    by_root = stored(rooted.groupBy("band", "value", "root").agg(F.count("*").alias("n")), "by_root")
+    mixed = by_root.groupBy("band", "value").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("most"), F.count("*").alias("roots"))
+    mixed = stored(mixed.where("roots > 1").drop("roots"), "mixed")
+    few = rooted.join(mixed.where(F.col("n") <= SMALL_BUCKET).select("band", "value"), ["band", "value"], "left_semi")
     others = few.select("band", "value", F.col("node").alias("a"), F.col("fp").alias("a_fp"), F.col("size").alias("a_size"), F.col("root").alias("a_root"))
-    many = mixed.where(F.col("n") > SMALL_BUCKET).select("band", "value", F.explode(F.array(*[f"p{i}" for i in range(PIVOTS)])).alias("p"))
-    many = with_root.join(many.select("band", "value", F.col("p.node").alias("a"), F.col("p.fp").alias("a_fp"), F.col("p.size").alias("a_size"), F.col("p.root").alias("a_root")), ["band", "value"])
-    again = few.join(others, ["band", "value"]).where("a < node").unionByName(many).where(open_ & (F.col("a_root") != F.col("root")))
-    more = again.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
-    labels = components(linked.union(_verified(rows, more, similarity, shingle)))
-    rooted = nodes.join(labels, "node", "left").select("whole", F.coalesce("root", "node").alias("root"))
-    return rows.select("id", "key", "whole").join(stored(rooted, "roots"), "whole").select("id", "key", "root")
+    more = few.join(others, ["band", "value"]).where("a < node").where(open_ & (F.col("a_root") != F.col("root"))).select("a", F.col("node").alias("b")).distinct()
+    found = [linked, _verified(rows, more, similarity, shingle)]
+    large = stored(mixed.where(F.col("n") > SMALL_BUCKET), "large")
+    if not large.isEmpty():
+        found.append(_within_large(rows, rooted, large, similarity, shingle))
+    labels = components(functools.reduce(DataFrame.union, found))
+    discard(shared, by_root, mixed)
+    roots = stored(nodes.join(labels, "node", "left").select("whole", F.coalesce("root", "node").alias("root")), "roots")
+    return rows.select("id", "key", "whole").join(roots, "whole").select("id", "key", "root")
+
+
+def _within_large(rows: DataFrame, rooted: DataFrame, large: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """Links between members of different components in large buckets.
+
+    In each bucket the members outside its largest component are a query set
+    that is put to all members, block by block: a task has a block of either,
+    and gives links alone. So every pair in question is compared, and none is
+    written down.
+    """
+    hash_of = lambda n: F.pmod(F.xxhash64("node", "band"), n.cast("long")).cast("int")
+    blocks, asking = F.ceil(F.col("n") / BLOCK), F.ceil((F.col("n") - F.col("most")) / BLOCK)
+    members = rooted.join(large, ["band", "value"]).select("band", "value", "node", "root", (F.col("root") != F.col("main")).alias("stray"), blocks.alias("blocks"), asking.alias("asking"))
+    texts = rows.select("row", "text").join(members.select(F.col("node").alias("row")).distinct(), "row", "left_semi")
+    members = stored(members.join(texts.withColumnRenamed("row", "node"), "node"), "members")
+    every = lambda n, name: F.explode(F.sequence(F.lit(0), n.cast("int") - 1)).alias(name)
+    keys = ("band", "value", "i", "j")
+    all_ = members.select("band", "value", "node", "root", "text", hash_of(F.col("blocks")).alias("i"), every(F.col("asking"), "j"))
+    strays = members.where("stray").select("band", "value", "node", "root", "text", hash_of(F.col("asking")).alias("j"), every(F.col("blocks"), "i"))
+
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        sets = [[np.unique(shingle_hashes(t.as_py() or "", shingle)) for t in side.column("text")] for side in (left, right)]
+        sizes = [np.array([len(x) for x in side], np.int64) for side in sets]
+        flat = [np.concatenate([np.empty(0, np.uint64), *side]) for side in sets]
+        at = [np.repeat(np.arange(len(n)), n) for n in sizes]
+        common = np.intersect1d(*map(np.unique, flat))
+        both = np.zeros((len(sizes[0]), len(sizes[1])), np.float32)
+        where = [np.searchsorted(common, f) for f in flat]
+        held = [(w < len(common)) & (common[np.minimum(w, len(common) - 1)] == f) if len(common) else np.zeros(len(f), bool) for w, f in zip(where, flat, strict=True)]
+        for lo in range(0, len(common), 4096):
+            marks = []
+            for k in (0, 1):
+                mine = held[k] & (where[k] >= lo) & (where[k] < lo + 4096)
+                m = np.zeros((len(sizes[k]), min(4096, len(common) - lo)), np.float32)
+                m[at[k][mine], where[k][mine] - lo] = 1
+                marks.append(m)
+            both += marks[0] @ marks[1].T
+        nodes, roots = ([side.column(c).to_numpy() for side in (left, right)] for c in ("node", "root"))
+        linked = (both >= similarity * (sizes[0][:, None] + sizes[1][None] - both)) & (roots[0][:, None] != roots[1][None])
+        x, y = np.nonzero(linked)
+        a, b = nodes[0][x], nodes[1][y]
+        give_back()
+        return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
+
+    found = all_.groupBy(*keys).cogroup(strays.groupBy(*keys)).applyInArrow(compare, "a long, b long").distinct()
+    made = stored(found, "links-in-large")
+    discard(members)
+    return made
 
 
 def _verified(rows: DataFrame, pairs: DataFrame, similarity: float, shingle: int) -> DataFrame:
@@ -254,7 +326,9 @@ def _verified(rows: DataFrame, pairs: DataFrame, similarity: float, shingle: int
 
     right = pairs.join(texts.select(F.col("row").alias("b"), F.col("text").alias("b_text")).hint("merge"), "b")
     met = right.join(texts.select(F.col("row").alias("a"), F.col("text").alias("a_text")).hint("merge"), "a").select("a", "b", "a_text", "b_text")
-    return stored(met.mapInArrow(check, "a long, b long"), "verified")
+    made = stored(met.mapInArrow(frugal(check), "a long, b long"), "verified")
+    discard(pairs, texts)
+    return made
 
 
 def op10_simhash_mih(spark, sf_dir: str) -> DataFrame:
