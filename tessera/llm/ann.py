@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stored
+from .common import discard, stored
 from .vectors import RESULT, matrix, ranked, table_of_vectors, usable
 
 #: Rows of the fit sample at least, and per list; rows of the table per list.
@@ -336,6 +336,8 @@ def approximate_top_k(rows: DataFrame, queries: DataFrame, k: int = 20, *, sampl
         groups = int((first + parts).max())
         every = short.select("query_id", "v", F.lit(None).cast("array<int>").alias("lists"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"))
         found = found.join(short.select("query_id").distinct(), "query_id", "left_anti").unionByName(_search(grouped, every, k))
+        found = stored(found, "found")
+    discard(asked)
     return ranked(found, k)
 
 

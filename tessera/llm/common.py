@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import ctypes
 import functools
 import gc
@@ -87,6 +88,21 @@ def discard(*frames: DataFrame) -> None:
             _made[:] = [(s, p) for s, p in _made if p != path]
 
 
+@contextlib.contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables stored inside go at the end, but for those that it is asked to keep."""
+    before, kept = {p for _, p in _made}, set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(getattr(df, "_stored_at", None))
+        return df
+
+    yield keep
+    for spark, path in [m for m in _made if m[1] not in before | kept]:
+        _delete(spark, path)
+        _made.remove((spark, path))
+
+
 #: Bytes of texts that a worker gets at once, but for a single longer row.
 BATCH_BYTES = 4 << 20
 

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, col, hashable, stored, table
+from .common import WORD, col, discard, hashable, stored, table
 
 WEIGHTS = (3, 1, 2)
 #: Slices of a source's queue, three hex digits of the shuffle key, and slots
@@ -127,6 +127,7 @@ def mix(df: DataFrame, *, size: str = "size", source: str = "source", key: tuple
         behind = F.when(f != at, f < at).when(later(source_c, cut[1]), False).when(earlier(source_c, cut[1]), True).when(rank_c != cut[2], rank_c < cut[2]).otherwise(size_c <= cut[3])
         return whole | ((slot_of(f) == slot) & behind)
 
+    discard(queue, timed)
     # The caller's columns travel in one struct, so no name of theirs can clash.
     rows = df.select(F.struct(*map(col, df.columns)).alias("row"), col(source).alias("_source"), lane(col(source)).alias("_lane"), words.alias("_size"), rank.alias("_rank"), F.substring(rank, 1, SLICE_DIGITS).alias("_slice"))
     out = placed(rows, "_")

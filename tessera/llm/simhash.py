@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD_BYTES, col, discard, free_name, frugal, give_back, hashable, small_batches, stored, table
+from .common import WORD_BYTES, col, discard, free_name, frugal, give_back, hashable, scratch, small_batches, stored, table
 
 #: Distinct fingerprints of a bucket beyond which it is searched by bytes.
 HOT_BUCKET = 1024
@@ -138,8 +138,9 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text: str = "text"
     fingerprints are brought together before any pair is formed. Other columns
     are ignored; an empty table gives an empty result.
     """
-    narrow = stored(small_batches(df).select(col(id_col).alias("id"), _fingerprint(col(text)).alias("fp")), "fingerprints")
-    where = _component_of_fingerprints(narrow)
+    with scratch() as keep:
+        narrow = keep(stored(small_batches(df).select(col(id_col).alias("id"), _fingerprint(col(text)).alias("fp")), "fingerprints"))
+        where = keep(_component_of_fingerprints(narrow))
     return narrow.join(where, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -162,18 +163,19 @@ def keep_first(df: DataFrame, *, id_col: str = "doc_id", text: str = "text", sim
     go with their own components. Null, empty and white texts are one component.
     All columns of ``df`` stay; an empty table gives an empty result.
     """
-    named = small_batches(df).select(col(id_col).alias("id"), F.xxhash64(col(text)).alias("key"), col(text).alias("text"))
-    if similarity is None:
-        narrow = stored(named.select("id", "key", _fingerprint(F.col("text")).alias("fp")), "fingerprints")
-        rooted = narrow.join(_component_of_fingerprints(narrow).select("fp", "root"), "fp")
-    else:
-        rooted = similar(named, similarity, shingle)
-    # Plain keys for ids that may be null; those sort last.
-    least = F.min(F.struct(F.col("id").isNull().alias("loose"), "id", "key")).alias("first")
     loose, plain, key, rank = (free_name(df, n) for n in ("_loose", "_plain", "_key", "_rank"))
     zero = lambda c: F.coalesce(c.cast("string"), F.lit(""))
-    firsts = rooted.groupBy("root").agg(least).select(F.col("first.loose").alias(loose), zero(F.col("first.id")).alias(plain), F.col("first.key").alias(key)).distinct()
-    firsts = stored(firsts, "firsts")
+    with scratch() as keep:
+        named = small_batches(df).select(col(id_col).alias("id"), F.xxhash64(col(text)).alias("key"), col(text).alias("text"))
+        if similarity is None:
+            narrow = stored(named.select("id", "key", _fingerprint(F.col("text")).alias("fp")), "fingerprints")
+            rooted = narrow.join(_component_of_fingerprints(narrow).select("fp", "root"), "fp")
+        else:
+            rooted = similar(named, similarity, shingle)
+        # Plain keys for ids that may be null; those sort last.
+        least = F.min(F.struct(F.col("id").isNull().alias("loose"), "id", "key")).alias("first")
+        firsts = rooted.groupBy("root").agg(least).select(F.col("first.loose").alias(loose), zero(F.col("first.id")).alias(plain), F.col("first.key").alias(key)).distinct()
+        firsts = keep(stored(firsts, "firsts"))
     keyed = df.select("*", col(id_col).isNull().alias(loose), zero(col(id_col)).alias(plain), F.xxhash64(col(text)).alias(key))
     met = keyed.join(firsts, [loose, plain, key], "left_semi")
     order = Window.partitionBy(loose, plain, key).orderBy(F.xxhash64(*hashable(df)))
@@ -232,14 +234,15 @@ def similar(named: DataFrame, similarity: float = 0.8, shingle: int = 5) -> Data
     each = rows.join(nodes.select(F.col("node").alias("row")), "row", "left_semi").select(F.col("row").alias("node"), "fp", "size", F.posexplode("bands").alias("band", "value"))
     buckets = stored(each, "bands")
     pivot = buckets.groupBy("band", "value").agg(F.min(F.struct(F.xxhash64("node").alias("h"), "node", "fp", "size")).alias("p"), F.count("*").alias("n"))
-    pivot = stored(pivot.where("n > 1").select("band", "value", F.col("p.node").alias("a"), F.col("p.fp").alias("a_fp"), F.col("p.size").alias("a_size")), "pivots")
+    pivot = stored(pivot.where("n > 1").select("band", "value", F.col("p.node").alias("a"), F.col("p.fp").alias("a_fp"), F.col("p.size").alias("a_size"), "n"), "pivots")
     shared = stored(buckets.join(pivot, ["band", "value"]), "shared")
     open_ = (F.bit_count(F.col("a_fp").bitwiseXOR(F.col("fp"))) <= CANDIDATE_BITS) & (F.least("a_size", "size") >= F.greatest("a_size", "size") * similarity)
     pairs = shared.where(open_ & (F.col("a") != F.col("node"))).select("a", F.col("node").alias("b")).distinct()
     linked = _verified(rows, pairs, similarity, shingle)
     discard(buckets, pivot)
     labels = stored(components(linked), "labels")
-    rooted = shared.select("band", "value", "node", "fp", "size").join(labels, "node", "left")
+    # The pivot has settled a bucket of two.
+    rooted = shared.where("n > 2").select("band", "value", "node", "fp", "size").join(labels, "node", "left")
     rooted = stored(rooted.withColumn("root", F.coalesce("root", "node")), "rooted")
     by_root = stored(rooted.groupBy("band", "value", "root").agg(F.count("*").alias("n")), "by_root")
     mixed = by_root.groupBy("band", "value").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("most"), F.count("*").alias("roots"))

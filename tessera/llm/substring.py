@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD_BYTES, col, discard, frugal, small_batches, stored, table
+from .common import WORD_BYTES, col, discard, frugal, scratch, small_batches, stored, table
 
 WINDOW, GRAM = 50, 10
 _MULTIPLIER = 0x9E3779B97F4A7C15
@@ -111,12 +111,40 @@ def _words(text: str | None) -> list[bytes]:
     return WORD_BYTES.findall((text or "").encode())
 
 
+_PLACES = "first int, count int, more array<int>"
+
+
+def _once(anchor: np.ndarray, whole: np.ndarray, first: np.ndarray, count: np.ndarray, doc: np.ndarray, ids: np.ndarray, parts: np.ndarray) -> pa.RecordBatch:
+    """One row for a block that a document holds several times, with all its places.
+
+    A line that a document repeats over and over thus stands in the index once a document.
+    """
+    order = np.lexsort((first, whole, anchor, doc))
+    anchor, whole, first, count, doc = (x[order] for x in (anchor, whole, first, count, doc))
+    new = np.ones(len(doc), bool)
+    new[1:] = (anchor[1:] != anchor[:-1]) | (whole[1:] != whole[:-1]) | (doc[1:] != doc[:-1])
+    head = np.flatnonzero(new)
+    others = np.diff(np.append(head, len(doc))) - 1
+    more = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(others)]).astype(np.int32)), pa.array(first[~new]), mask=pa.array(others == 0))
+    cols = [pa.array(x[head]) for x in (anchor, whole, first, count)] + [more, pa.array(ids[doc[head]]), pa.array(parts[doc[head]])]
+    return pa.RecordBatch.from_arrays(cols, names=["anchor", "whole", "first", "count", "more", "id", "part"])
+
+
+def _places(runs: pa.StructArray, first: int, more: int) -> tuple[np.ndarray, np.ndarray]:
+    """For every place of every run: the number of the run, and the place."""
+    own, others = runs.field(first).to_numpy(), runs.field(more)
+    n = others.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    at = np.arange(len(own))
+    return np.concatenate([at, np.repeat(at, n)]), np.concatenate([own, others.flatten().to_numpy(zero_copy_only=False)]).astype(np.int64)
+
+
 def sources(docs: DataFrame, window: int, gram: int) -> DataFrame:
     """Runs of window starts that also start in a document with a smaller id.
 
     docs: ``id`` long, not null, ``part`` long (rows with one id and different
     texts differ in it), ``text``, and any more. Result, stored: id, part, first,
-    count, and the run's place in the earliest holder, source and source_first.
+    count, further places of the same run in ``more`` (null: none), and the run's
+    place in the earliest holder, source and source_first.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,18 +152,18 @@ def sources(docs: DataFrame, window: int, gram: int) -> DataFrame:
         for batch in batches:
             ids, parts = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for lo in range(0, len(ids), 500):
-                out: list[list[np.ndarray]] = [[] for _ in range(6)]
+                out: list[list[np.ndarray]] = [[] for _ in range(5)]
                 for i, text in enumerate(batch.column(2).slice(lo, 500), lo):
                     words = _words(text.as_py())
                     if len(words) >= window:
                         found = blocks(hasher, words, window, gram)
-                        for to, x in zip(out, (*found, np.full(len(found[0]), ids[i]), np.full(len(found[0]), parts[i])), strict=True):
+                        for to, x in zip(out, (*found, np.full(len(found[0]), i)), strict=True):
                             to.append(x)
                 if out[0]:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["anchor", "whole", "first", "count", "id", "part"])
+                    yield _once(*map(np.concatenate, out), ids, parts)
 
     small_batches(docs)
-    index = stored(docs.select("id", "part", "text").mapInArrow(frugal(cut), "anchor long, whole long, first int, count int, id long, part long"), "blocks")
+    index = stored(docs.select("id", "part", "text").mapInArrow(frugal(cut), f"anchor long, whole long, {_PLACES}, id long, part long"), "blocks")
     # Aggregates are stored before they are joined: both sides of the join are then plain exchanges, whose hot keys can be split.
     ends = index.groupBy("anchor").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.min("whole").alias("w0"), F.max("whole").alias("w1"))
     shared = stored(ends.where("least < most").select("anchor", (F.col("w0") < F.col("w1")).alias("varied")), "shared")
@@ -146,10 +174,10 @@ def sources(docs: DataFrame, window: int, gram: int) -> DataFrame:
     # One join serves both: blocks that an earlier document holds, and first holders.
     parsed = stored(known.join(owner, ["anchor", "whole"]).drop("whole"), "parsed")
     discard(known, owner)
-    run = ("id", "part", "first", "count", "source", "source_first")
+    run = ("id", "part", "first", "count", "more", "source", "source_first")
     # The first document with a block is where its windows may begin a factor from another block.
     # Sets, since rows that repeat have the same marks.
-    edges = stored(parsed.where("source = id and varied").groupBy("id", "part").agg(F.collect_set(F.struct("anchor", "first", "count")).alias("_edges")), "edges")
+    edges = stored(parsed.where("source = id and varied").groupBy("id", "part").agg(F.collect_set(F.struct("anchor", "first", "count", "more")).alias("_edges")), "edges")
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, last = Hasher(), None
@@ -160,7 +188,9 @@ def sources(docs: DataFrame, window: int, gram: int) -> DataFrame:
                     continue
                 last = (ids[i], parts[i])
                 p = hasher.prefix(_words(batch.column(2)[i].as_py()))
-                anchor, first, count = (batch.column(3)[i].values.field(k).to_numpy().astype(np.int64) for k in range(3))
+                marks = batch.column(3)[i].values
+                at, first = _places(marks, 1, 3)
+                anchor, count = (marks.field(k).to_numpy()[at].astype(np.int64) for k in (0, 2))
                 ends = np.cumsum(count)
                 start = np.repeat(first - (ends - count), count) + np.arange(ends[-1])
                 n = len(start)
@@ -175,7 +205,7 @@ def sources(docs: DataFrame, window: int, gram: int) -> DataFrame:
     discard(edges)
     earliest = looked_up.groupBy("anchor", "window").agg(place).select("anchor", "window", F.col("o.id").alias("source"), F.col("o.first").alias("source_first"))
     earliest = stored(earliest, "earliest")
-    single = looked_up.join(earliest, ["anchor", "window"]).where("source < id").select("id", "part", "first", F.lit(1).alias("count"), "source", "source_first")
+    single = looked_up.join(earliest, ["anchor", "window"]).where("source < id").select("id", "part", "first", F.lit(1).alias("count"), F.lit(None).cast("array<int>").alias("more"), "source", "source_first")
     out = stored(parsed.where("source < id").select(*run).union(single), "sources")
     discard(parsed, looked_up, earliest)
     return out
@@ -219,8 +249,9 @@ def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text: str = "text",
     others = [c for c in df.columns if c != text]
     rows = df.select(col(id_col).try_cast("long").alias("id"), F.xxhash64(col(text)).alias("part"), col(text).alias("text"), F.struct(*map(col, others)).alias("row"))
     docs = rows.where("id is not null")
-    run = F.struct("first", "count", "source", "source_first")
-    runs = stored(sources(docs, window, gram).groupBy("id", "part").agg(F.collect_set(run).alias("runs")), "runs")
+    run = F.struct("first", "count", "source", "source_first", "more")
+    with scratch() as keep:
+        runs = keep(stored(sources(docs, window, gram).groupBy("id", "part").agg(F.collect_set(run).alias("runs")), "runs"))
     joined = docs.join(runs.hint("merge"), ["id", "part"], "left").select("text", "row", "runs")
     loose = rows.where("id is null").select("text", "row", F.lit(None).cast(runs.schema["runs"].dataType).alias("runs"))
     names = list(df.columns)
@@ -235,7 +266,8 @@ def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text: str = "text",
                     total.append(len(words))
                     own: tuple[np.ndarray, ...] = (np.empty(0, np.int64),) * 4
                     if runs.is_valid and len(runs.values):
-                        own = factors(*(runs.values.field(i).to_numpy() for i in range(4)), window)
+                        at, first = _places(runs.values, 0, 4)
+                        own = factors(first, *(runs.values.field(i).to_numpy()[at] for i in (1, 2, 3)), window)
                         depth = np.zeros(len(words) + 1, np.int64)
                         np.add.at(depth, own[0], 1)
                         np.add.at(depth, own[0] + own[1], -1)
