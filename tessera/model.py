@@ -61,6 +61,9 @@ def factor_id(node: FactorNode) -> str:
     return "f_" + hashlib.sha256(canonical_json(node).encode()).hexdigest()[:16]
 
 
+# The months, costs and dates that the next three classes start with.
+
+
 @dataclass(frozen=True)
 class WalkForwardConfig:
     """Months of the training, test and step windows, and the least training."""

@@ -67,6 +67,22 @@ def has_operator(name: str) -> bool:
     return name in _specs
 
 
+def snapshot_operators() -> dict[str, OperatorSpec]:
+    """A copy of the registry, for tests."""
+    return dict(_specs)
+
+
+def restore_operators(snapshot: dict[str, OperatorSpec]) -> None:
+    """Puts a copy in the registry's place, for tests."""
+    reset_operators()
+    _specs.update(snapshot)
+
+
+def reset_operators() -> None:
+    """Empties the registry, for tests."""
+    _specs.clear()
+
+
 def unregister_operator(name: str) -> None:
     """For tests and plug-ins that bring their own operators."""
     _specs.pop(name, None)

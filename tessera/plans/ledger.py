@@ -16,16 +16,18 @@ from dataclasses import asdict, dataclass, fields
 from datetime import UTC, datetime
 from pathlib import Path
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import __version__
-from ..errors import ConfigError
+from ..errors import ConfigError, EngineError
 from ..model import BacktestResult, Factor, canonical_form, walk
 from .complexity import BEHAVIOURAL, STRUCTURAL, ast_similarity, behavioural_similarities, unique_features
-from .compiler import evaluate
+from .compiler import evaluate, validate
 from .parser import node_of
 
+#: Version of a line, most comparisons, least rows per bar of warm-up.
 SCHEMA_VERSION, HARD_CAP, HISTORY = 1, 20, 3
 _NOT_FLOAT = {"factor_id", "factor_name", "data_version", "run_timestamp", "n_experiments_in_ledger", "factor_ast_depth", "factor_node_count", "n_trades"}
 
@@ -64,7 +66,7 @@ class Ledger:
             f.write(line + "\n")
 
     def read_all(self) -> Iterator[LedgerEntry]:
-        """Entries in the order they were written."""
+        """Entries in the order they were written; their operators need not be registered now."""
         if not self.path.exists():
             return
         with self.path.open(encoding="utf-8") as f:
@@ -99,7 +101,7 @@ def _parsed(data: dict) -> LedgerEntry:
         raise ConfigError(f"unknown ledger schema version {data.get('schema_version')!r}")
     f = data["factor"]
     values = {k: datetime.fromisoformat(v) if k == "run_timestamp" else v if k in _NOT_FLOAT else float(v) for k, v in data["result"].items()}
-    return LedgerEntry(SCHEMA_VERSION, data["meta"], Factor(f["name"], f["description"], f["hypothesis"], node_of(f["root"]), f.get("metadata", {})), BacktestResult(**values))
+    return LedgerEntry(SCHEMA_VERSION, data["meta"], Factor(f["name"], f["description"], f["hypothesis"], node_of(f["root"], check=False), f.get("metadata", {})), BacktestResult(**values))
 
 
 def longest_window(node) -> int:
@@ -107,11 +109,27 @@ def longest_window(node) -> int:
     return max((a for n in walk(node) for a in (*n.args, *n.kwargs.values()) if isinstance(a, int) and not isinstance(a, bool)), default=0)
 
 
+def _able(root, series: DataFrame, n: int) -> bool:
+    """Whether a prior can be evaluated on these features."""
+    if n < HISTORY * longest_window(root) or not unique_features(root) <= set(series.columns):
+        return False
+    try:
+        validate(root)
+        evaluate(series, {"_prior": root})
+    except (EngineError, AnalysisException, TypeError, ValueError):
+        return False
+    return True
+
+
 def check_duplicate(candidate: Factor, features: DataFrame, ledger: Ledger, *, structural_threshold: float = STRUCTURAL, behavioral_threshold: float = BEHAVIOURAL, hard_cap: int = HARD_CAP) -> DuplicateCheck:
     """Alike in structure first, then in output, the most alike and newest first.
 
     All priors that are compared by output are evaluated together with the
-    candidate in one plan, and correlated in one aggregate.
+    candidate in one plan, and correlated in one aggregate. A prior that cannot
+    be evaluated here (too few rows, a feature or operator that is not there) is
+    skipped and does not count towards the cap. The check is saturated when
+    ``hard_cap`` comparisons gave no match and any like factor is left, one that
+    would be skipped included.
     """
     n = features.count()
     if n < HISTORY * longest_window(candidate.root):
@@ -119,20 +137,24 @@ def check_duplicate(candidate: Factor, features: DataFrame, ledger: Ledger, *, s
     scored = [(ast_similarity(candidate.root, e.factor.root), i, e) for i, e in enumerate(ledger.read_all())]
     best = max((s for s, *_ in scored), default=0.0)
     hits = sorted((h for h in scored if h[0] >= structural_threshold), key=lambda h: (-h[0], -h[1]))
-    able, skipped = [], []
+    series = features.withColumn("k", F.lit("series"))
+    compared, skipped, saturated = [], [], False
     for hit in hits:
-        root = hit[2].factor.root
-        fits = n >= HISTORY * longest_window(root) and unique_features(root) <= set(features.columns)
-        able.append(hit) if fits else skipped.append(hit[2].meta["ledger_line_id"])
-    compared = able[:hard_cap]
+        if len(compared) >= hard_cap:
+            saturated = True
+            break
+        if _able(hit[2].factor.root, series, n):
+            compared.append(hit)
+        else:
+            skipped.append(hit[2].meta["ledger_line_id"])
     alike: list[float] = []
     if compared:
         names = [f"_p{i}" for i in range(len(compared))]
         plan = {"_candidate": candidate.root} | {m: h[2].factor.root for m, h in zip(names, compared, strict=True)}
-        values = evaluate(features.withColumn("k", F.lit("series")), plan)
+        values = evaluate(series, plan)
         doubles = values.select(*[F.col(c).cast("double").alias(c) for c in ("_candidate", *names)])
         alike = behavioural_similarities(doubles, "_candidate", names)
     for similarity, (structural, _, entry) in zip(alike, compared, strict=True):
         if similarity >= behavioral_threshold:
             return DuplicateCheck(entry, structural, similarity, False, len(hits), tuple(skipped))
-    return DuplicateCheck(None, best, max(alike, default=0.0), len(able) > hard_cap, len(hits), tuple(skipped))
+    return DuplicateCheck(None, best, max(alike, default=0.0), saturated, len(hits), tuple(skipped))

@@ -64,12 +64,13 @@ def parse_json(source: str) -> FactorNode:
     return node
 
 
-def node_of(data):
-    """A tree from its canonical form."""
+def node_of(data, check: bool = True):
+    """A tree from its canonical form; ``check`` its operators, or read them as they stand."""
     if isinstance(data, dict):
         if set(data) != {"op", "args", "kwargs"} or not isinstance(data["op"], str) or not isinstance(data["args"], list) or not isinstance(data["kwargs"], dict):
             raise ParseError("a node has exactly op, args and kwargs")
-        return checked(FactorNode(data["op"], tuple(node_of(a) for a in data["args"]), {k: node_of(v) for k, v in data["kwargs"].items()}))
+        node = FactorNode(data["op"], tuple(node_of(a, check) for a in data["args"]), {k: node_of(v, check) for k, v in data["kwargs"].items()})
+        return checked(node) if check else node
     if isinstance(data, str | bool | int | float):
         return data
     raise ParseError(f"not a factor argument: {data!r}")

@@ -61,12 +61,13 @@ CANONICAL = {DataType.OHLCV: OHLCV, DataType.FUNDING: FUNDING, DataType.OPEN_INT
 def violations(df: DataFrame, schema: TableSchema, *, keys: tuple[str, ...] = ()) -> DataFrame:
     """One row per broken rule and its number of rows, by a single aggregate.
 
-    Order is checked in storage order only where the caller keeps it; times
-    must be unique per key.
+    Times must be unique per key; a missing time is missing, not a repeat.
     """
     counts = [F.count_if(~F.coalesce(F.expr(rule), F.lit(False))).alias(name) for name, rule in schema.rules.items()]
     counts.append(F.count_if(F.col("timestamp").isNull()).alias("timestamp is missing"))
-    repeats = (F.count("*") - F.count_distinct(*keys, "timestamp")).alias("timestamp repeats")
+    known = F.col("timestamp").isNotNull()
+    own = F.struct(*[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys], *[F.col(k).isNull() for k in keys], F.col("timestamp"))
+    repeats = (F.count_if(known) - F.count_distinct(F.when(known, own))).alias("timestamp repeats")
     names = [*schema.rules, "timestamp is missing", "timestamp repeats"]
     row = df.agg(*counts, repeats)
     return row.select(F.explode(F.array(*[F.struct(F.lit(n).alias("rule"), F.col(f"`{n}`").cast("long").alias("n")) for n in names])).alias("v")).select("v.*")
@@ -78,13 +79,20 @@ def out_of_order(df: DataFrame, *, keys: tuple[str, ...], position: str) -> Data
     return df.withColumn("_before", F.lag("timestamp").over(w)).where("timestamp <= _before").drop("_before")
 
 
-def validate(df: DataFrame, schema: TableSchema, *, keys: tuple[str, ...] = ()) -> DataFrame:
-    """``df``, if its columns and rows fit; nothing is cast, extra columns fail."""
+def validate(df: DataFrame, schema: TableSchema, *, keys: tuple[str, ...] = (), position: str | None = None) -> DataFrame:
+    """``df``, if its columns and rows fit; nothing is cast, extra columns fail.
+
+    ``position``: a column that gives the rows' order in storage; times must
+    then ascend in it. It is not part of the table and is dropped.
+    """
+    placed, df = df, df.drop(position) if position else df
     want = [(n, t.simpleString()) for n, t in schema.columns]
     have = [(n, t) for n, t in df.dtypes if n not in keys]
     if sorted(have) != sorted(want):
         raise DataSchemaViolation(f"columns are {have}, not {want}")
     broken = [f"{r['rule']} ({r['n']} rows)" for r in violations(df, schema, keys=keys).where("n > 0").collect()]
+    if position and not broken and (late := out_of_order(placed, keys=keys, position=position).count()):
+        broken.append(f"timestamp does not ascend ({late} rows)")
     if broken:
         raise DataSchemaViolation("; ".join(broken))
     return df

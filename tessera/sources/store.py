@@ -43,14 +43,18 @@ def require_utc(at: datetime, name: str) -> datetime:
     return at
 
 
-def merge_existing_first(old: DataFrame, new: DataFrame, *, keys: tuple[str, ...] = ("timestamp",)) -> DataFrame:
+def merge_existing_first(old: DataFrame, new: DataFrame, *, keys: tuple[str, ...] = ("timestamp",), arrival: str | None = None) -> DataFrame:
     """Both tables' rows, one per key; a row that is there already wins.
 
-    Of new rows that repeat a key the one that sorts first stays.
+    Of new rows that repeat a key the first to arrive stays, by the column
+    ``arrival`` of ``new``, which may be none of ``old``'s and is dropped then;
+    without it the one that sorts first.
     """
-    both = old.withColumn("_late", F.lit(0)).unionByName(new.withColumn("_late", F.lit(1)))
-    order = Window.partitionBy(*keys).orderBy("_late", *[c for c in old.columns if c not in keys])
-    return both.withColumn("_rank", F.row_number().over(order)).where("_rank = 1").drop("_late", "_rank")
+    at = F.lit(0) if arrival is None else F.col(arrival)
+    late = new.withColumns({"_late": F.lit(1), "_at": at}).select(*old.columns, "_late", "_at")
+    early = old.withColumns({"_late": F.lit(0), "_at": F.lit(None).cast(late.schema["_at"].dataType)})
+    order = Window.partitionBy(*keys).orderBy("_late", "_at", *[c for c in old.columns if c not in keys])
+    return early.unionByName(late).withColumn("_rank", F.row_number().over(order)).where("_rank = 1").drop("_late", "_at", "_rank")
 
 
 def read_or_none(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame | None:
@@ -62,6 +66,8 @@ def read_or_none(spark: SparkSession, path: str, schema: T.StructType) -> DataFr
 def publish(df: DataFrame, path: str, data_type: DataType, source: str) -> None:
     """Validates a staged copy, then puts it in place; a bad one goes to quarantine.
 
+    Rows are written in the order of their times.
+
     The source's name is stored with the schema, as column metadata.
     """
     spark = df.sparkSession
@@ -70,7 +76,7 @@ def publish(df: DataFrame, path: str, data_type: DataType, source: str) -> None:
     final = jvm.org.apache.hadoop.fs.Path(path)
     fs = final.getFileSystem(conf)
     tagged = df.withMetadata("timestamp", {"source_name": source})
-    tagged.write.mode("overwrite").parquet(staged.toString())
+    tagged.orderBy("timestamp").write.mode("overwrite").parquet(staged.toString())
     try:
         validate(spark.read.schema(df.schema).parquet(staged.toString()), CANONICAL[data_type])
     except DataSchemaViolation as e:
@@ -99,7 +105,10 @@ def run_source(spark: SparkSession, source: DataSource, symbol: str, *, base: st
     if since >= end:
         return old
     new = source.fetch(spark, symbol, start=since, end=end, freq=freq).select(*schema.names)
-    publish(new if old is None else merge_existing_first(old, new), path, source.data_type, source.name)
+    if old is not None:
+        # The records of a source come in one list or scan, so a row's position is its arrival.
+        new = merge_existing_first(old, new.withColumn("_arrival", F.monotonically_increasing_id()), arrival="_arrival")
+    publish(new, path, source.data_type, source.name)
     return spark.read.schema(schema).parquet(path)
 
 
@@ -112,10 +121,19 @@ def load_by_source(spark: SparkSession, base: str, data_type: DataType, source:
     df = read_or_none(spark, path, CANONICAL[data_type].struct)
     if df is None:
         raise ConfigError(f"nothing is stored at {path}")
+    df = df.withColumn("_position", F.struct("_metadata.file_path", "_metadata.row_index"))
     named = read_source_name(spark.read.parquet(path))
     if named is not None and named != source:
         raise DataSchemaViolation(f"{path} comes from {named}, not {source}")
-    return validate(df, CANONICAL[data_type])
+    return validate(df, CANONICAL[data_type], position="_position")
+
+
+def slice_fixture(spark: SparkSession, base: str, data_type: DataType, source: str, symbol: str, freq: str, *, start: datetime, end: datetime, to: str) -> DataFrame:
+    """The stored rows from ``start`` up to, not with, ``end``, published at ``to`` with their source."""
+    require_utc(start, "start"), require_utc(end, "end")
+    rows = load_by_source(spark, base, data_type, source, symbol, freq)
+    publish(rows.where((F.col("timestamp") >= _at(rows, start, "timestamp")) & (F.col("timestamp") < _at(rows, end, "timestamp"))), to, data_type, source)
+    return spark.read.schema(rows.schema).parquet(to)
 
 
 def load_ohlcv(spark: SparkSession, base: str, source: str, symbol: str, freq: str = "1h") -> DataFrame:
@@ -198,10 +216,15 @@ def series_from_records(spark: SparkSession, records: list, value: str) -> DataF
     return raw.select(F.timestamp_millis("ms").alias("timestamp"), value)
 
 
-def resample_ohlcv(df: DataFrame, *, keys: tuple[str, ...], ts: str = "ts", value: str = "value", unit: str = "hour") -> DataFrame:
-    """Bars per key and unit of time from a tape of values."""
+def resample_ohlcv(df: DataFrame, *, keys: tuple[str, ...], ts: str = "ts", value: str = "value", unit: str = "hour", tie: tuple[str, ...] | None = None) -> DataFrame:
+    """Bars per key and unit of time from a tape of values.
+
+    Where times tie, the columns ``tie`` say which row is first; by default the
+    smaller value, so that reruns agree.
+    """
+    when = F.struct(ts, *(tie or (value,)))
     return df.groupBy(*keys, F.date_trunc(unit, F.col(ts)).cast(df.schema[ts].dataType).alias("timestamp")).agg(
-        F.min_by(value, ts).alias("open"), F.max(value).alias("high"), F.min(value).alias("low"), F.max_by(value, ts).alias("close"), F.count("*").cast("double").alias("volume")
+        F.min_by(value, when).alias("open"), F.max(value).alias("high"), F.min(value).alias("low"), F.max_by(value, when).alias("close"), F.count("*").cast("double").alias("volume")
     )
 
 

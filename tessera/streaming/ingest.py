@@ -11,12 +11,13 @@ from ..sources.store import read_or_none
 
 
 def stream_bars(spark, path: str, schema: T.StructType, *, keys: tuple[str, ...], ts: str = "ts", value: str = "value", every: str = "1 hour", late: str = "10 minutes") -> DataFrame:
-    """A stream of bars from a folder of tape files, final once the watermark passes."""
+    """A stream of bars from a folder of tape files, final once the watermark passes; tied times go by value."""
+    when = F.struct(ts, value)
     tape = spark.readStream.schema(schema).parquet(path).withColumn(ts, F.col(ts).cast("timestamp"))
     return (
         tape.withWatermark(ts, late)
         .groupBy(*keys, F.window(ts, every).alias("w"))
-        .agg(F.min_by(value, ts).alias("open"), F.max(value).alias("high"), F.min(value).alias("low"), F.max_by(value, ts).alias("close"), F.count("*").cast("double").alias("volume"))
+        .agg(F.min_by(value, when).alias("open"), F.max(value).alias("high"), F.min(value).alias("low"), F.max_by(value, when).alias("close"), F.count("*").cast("double").alias("volume"))
         .select(*keys, F.col("w.start").alias("timestamp"), "open", "high", "low", "close", "volume")
     )
 
