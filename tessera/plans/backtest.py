@@ -25,9 +25,11 @@ from ..functions import metrics as M
 from ..functions.costs import fee_rate
 from ..model import BacktestResult, CostModel, DataSplits, Factor, FoldSpec, WalkForwardConfig, factor_id
 from ..operators.stage import quoted
-from .compiler import assert_causal_safe, compile_factor, evaluate, future_leaks
+from .compiler import assert_causal_safe, compile_factor, evaluate, future_leaks_of
 from .complexity import factor_complexity, unique_features
 
+#: What marks a signal column that was shifted by a bar.
+SHIFTED = {"shifted_bars": 1}
 #: Flat slippage, least bars of an in-sample run, checks of the future.
 SLIPPAGE = 0.0005
 IN_SAMPLE_BARS, LEAK_CUTOFFS = 24, 5
@@ -44,7 +46,12 @@ def shifted_signals(df: DataFrame, entry: Column, leave: Column, *, keys: tuple[
     w = Window.partitionBy(*keys).orderBy(*order)
     raw = df.withColumns({"_entry": entry, "_exit": leave})
     late = lambda c: F.coalesce(F.lag(c).over(w), F.lit(False))
-    return raw.withColumns({"entry": late("_entry"), "exit": late("_exit")}).drop("_entry", "_exit")
+    return as_shifted(raw.withColumns({"entry": late("_entry"), "exit": late("_exit")}).drop("_entry", "_exit"))
+
+
+def as_shifted(df: DataFrame) -> DataFrame:
+    """Marks ``entry`` and ``exit`` as signals of the bar before; only for code that has shifted them."""
+    return df.withMetadata("entry", SHIFTED).withMetadata("exit", SHIFTED)
 
 
 def add_months(at: datetime, months: int) -> datetime:
@@ -94,19 +101,37 @@ def in_folds(bars: DataFrame, folds: list[FoldSpec], *, ts: str = "ts", in_sampl
     return bars.join(F.broadcast(spec), (F.col(ts) >= F.col("_a")) & (F.col(ts) <= F.col("_b"))).drop("_a", "_b")
 
 
+def simulate_fold(bars: DataFrame, cost_model: CostModel, **options) -> DataFrame:
+    """``simulate`` for signals from outside: refuses any that is not marked as shifted.
+
+    A signal on its own bar would see the close that it trades at.
+    """
+    if missing := {"entry", "exit"} - set(bars.columns):
+        raise ConfigError(f"the bars lack {sorted(missing)}")
+    for c in ("entry", "exit"):
+        if bars.schema[c].metadata != SHIFTED:
+            raise LookAheadDetected(f"{c} is not marked as shifted by a bar; use shifted_signals")
+    return simulate(bars, cost_model, **options)
+
+
 def simulate(bars: DataFrame, cost_model: CostModel, *, keys: tuple[str, ...] = ("k", "fold_id"), order: tuple[str, ...] = ("ts",), cash: float = 10_000.0, close: str = "close", ts: str = "ts") -> DataFrame:
     """Bars with positions, returns, costs and trades; signals are shifted already.
 
-    bars: keys, order, close, ``entry``, ``exit`` and perhaps ``rate`` (funding
-    per bar). Entries while long and exits while flat do nothing, an entry and
+    bars: keys, order, close, ``entry``, ``exit`` (boolean, never missing, or the
+    run fails) and perhaps ``rate`` (funding per bar). Entries while long and exits while flat do nothing, an entry and
     an exit on one bar cancel, and every key starts flat with ``cash``.
     """
+    for signal in ("entry", "exit"):
+        if bars.schema[signal].dataType.typeName() != "boolean":
+            raise ConfigError(f"{signal} must be boolean, not {bars.schema[signal].dataType.simpleString()}")
+    present = lambda c: F.coalesce(F.col(c), F.raise_error(F.lit(f"the signal {c} is missing on a bar")).cast("boolean"))
+    entry, leave = present("entry"), present("exit")
     f, s = fee_rate(cost_model, is_taker=True), SLIPPAGE
     w = Window.partitionBy(*keys).orderBy(*order)
     so_far, everything = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     c = F.col(close)
-    decisive = F.when(F.col("entry") & ~F.col("exit"), 1).when(F.col("exit") & ~F.col("entry"), 0)
+    decisive = F.when(entry & ~leave, 1).when(leave & ~entry, 0)
     d = bars.withColumn("pos", F.coalesce(F.last(decisive, True).over(so_far), F.lit(0)))
     d = d.withColumns({"prev": F.coalesce(F.lag("pos").over(w), F.lit(0)), "_before": F.lag(close).over(w)})
     opens, closes = (F.col("pos") == 1) & (F.col("prev") == 0), (F.col("pos") == 0) & (F.col("prev") == 1)
@@ -164,16 +189,17 @@ def data_version(panel: DataFrame, features: list[str], sources: dict[str, str]
     return "sha256:" + hashlib.sha256("\n".join(lines).encode()).hexdigest()[:32]
 
 
-def leak_cutoffs(panel: DataFrame, node, *, ts: str = "ts") -> list:
-    """Five times between a fifth and four fifths of the rows, fixed by the factor's id."""
-    n = panel.count()
+def leak_cutoffs(panel: DataFrame, *nodes, ts: str = "ts") -> list:
+    """Five times between a fifth and four fifths of the rows, fixed by the factors' ids."""
+    rng = random.Random(int.from_bytes(hashlib.sha256(",".join(map(factor_id, nodes)).encode()).digest()[:8], "big"))
+    at = sorted(rng.uniform(0.2, 0.8) for _ in range(LEAK_CUTOFFS))
+    micros = F.unix_micros(quoted(ts).cast("timestamp"))
+    n, shares = panel.agg(F.count("*"), F.percentile_approx(micros, at, 10_000)).first()
     if n < 10:
         return []
-    rng = random.Random(int.from_bytes(hashlib.sha256(factor_id(node).encode()).digest()[:8], "big"))
-    at = sorted({rng.randrange(n // 5, max(n // 5 + 1, 4 * n // 5)) for _ in range(LEAK_CUTOFFS)})
-    shares = panel.agg(F.percentile_approx(F.unix_micros(quoted(ts).cast("timestamp")), [i / n for i in at], 10_000)).first()[0]
-    micros = F.array(*[F.timestamp_micros(F.lit(int(v))).cast(panel.schema[ts].dataType) for v in sorted(set(shares))])
-    return panel.sparkSession.range(1).select(micros.alias("m")).first()[0]
+    zone = panel.schema[ts].dataType.typeName()
+    plain = [datetime.fromtimestamp(int(v) // 1_000_000, UTC).replace(microsecond=int(v) % 1_000_000) for v in sorted(set(shares))]
+    return [t.replace(tzinfo=None) if zone == "timestamp_ntz" else t for t in plain]
 
 
 def run_backtest(
@@ -181,46 +207,22 @@ def run_backtest(
     factor: Factor,
     features: DataFrame,
     prices: DataFrame,
-    regime_labels: DataFrame | None = None,
-    splits: DataSplits,
-    cost_model: CostModel,
-    walk_forward_config: WalkForwardConfig,
-    funding_rate: DataFrame | None = None,
-    signal_rule: Callable[[Column], tuple[Column, Column]] | None = None,
-    feature_source_names: dict[str, str] | None = None,
-    ledger=None,
     on_duplicate: Literal["raise", "skip"] = "raise",
     skip_duplicate_check: bool = False,
-    ledger_prior_count: int = 1,
-    ledger_sharpe_variance: float = 0.0,
+    ledger=None,
     factor_max_similarity_to_zoo: float = math.nan,
-    initial_cash: float = 10_000.0,
-    freq: str = "1h",
-    min_test_bars: int = 24,
+    **options,
 ) -> BacktestResult:
     """One factor on one series, from the causality checks to the sealed result.
 
-    features: ``ts`` and a column per feature (``"SYMBOL|column"``); prices:
-    ``ts``, ``close``; regime_labels: ``ts`` and any of trend, vol, funding;
-    funding_rate: ``ts``, ``rate``. With a ledger, duplicates are looked up
-    before anything is simulated, and the result is appended.
+    The options are those of ``run_backtests``. With a ledger, duplicates are
+    looked up before anything is simulated, and the result is appended.
     """
-    from .ledger import check_duplicate
-
-    if "ts" not in features.columns or len(features.columns) < 2 or not {"ts", "close"} <= set(prices.columns):
-        raise ConfigError("features need ts and at least one feature, prices need ts and close")
-    if prices.isEmpty():
-        raise ConfigError("prices are empty")
-    node = factor.root
-    assert_causal_safe(node)
-    compile_factor(factor)
-    panel = features.withColumn("k", F.lit("series"))
-    if unique_features(node):
-        cutoffs = leak_cutoffs(panel, node)
-        leaks = future_leaks(panel, node, cutoffs).where("leaks > 0").orderBy("cutoff").limit(1).collect() if cutoffs else []
-        if leaks:
-            raise LookAheadDetected(f"values before {leaks[0]['cutoff']} change with the future")
+    _checked(features, prices)
+    _causal([factor], features)
     if ledger is not None and not skip_duplicate_check:
+        from .ledger import check_duplicate
+
         verdict = check_duplicate(factor, features, ledger)
         if verdict.cap_exceeded:
             raise DuplicateCheckSaturated(f"{verdict.n_structural_hits} similar factors, no verdict")
@@ -229,56 +231,135 @@ def run_backtest(
                 return verdict.match.result
             raise DuplicateFactor(f"{factor.name} repeats {verdict.match.factor.name}")
         factor_max_similarity_to_zoo = verdict.structural_similarity
+    result = _simulated([factor], features=features, prices=prices, ledger=ledger, similarity=factor_max_similarity_to_zoo, **options)[0]
     if ledger is not None:
-        ledger_prior_count, ledger_sharpe_variance = ledger.count_finite_experiments(), ledger.sharpe_variance_across_trials()
+        ledger.append(factor=factor, result=result)
+    return result
+
+
+def run_backtests(factors: list[Factor], *, features: DataFrame, prices: DataFrame, ledger=None, **options) -> list[BacktestResult]:
+    """Many factors on one series, as one plan: results in the order of the factors.
+
+    features: ``ts`` and a column per feature (``"SYMBOL|column"``); prices:
+    ``ts``, ``close``; options: ``splits``, ``cost_model``,
+    ``walk_forward_config`` and perhaps ``regime_labels`` (``ts`` and any of
+    trend, vol, funding), ``funding_rate`` (``ts``, ``rate``), ``signal_rule``,
+    ``feature_source_names``, ``initial_cash``, ``freq``, ``min_test_bars``, and
+    without a ledger ``ledger_prior_count`` and ``ledger_sharpe_variance``.
+
+    Every window is keyed by factor and fold, so factors run side by side, and
+    the number of jobs does not grow with their number. Each result equals that
+    of ``run_backtest`` against the ledger as it stands before; factors of the
+    batch must differ, and are not compared with one another by output.
+    """
+    ids = [factor_id(f.root) for f in factors]
+    if len(set(ids)) < len(ids):
+        raise DuplicateFactor("a factor stands in the batch twice")
+    if not factors:
+        return []
+    _checked(features, prices)
+    _causal(factors, features)
+    results = _simulated(factors, features=features, prices=prices, ledger=ledger, similarity=math.nan, **options)
+    if ledger is not None:
+        for factor, result in zip(factors, results, strict=True):
+            ledger.append(factor=factor, result=result)
+    return results
+
 
+def _checked(features: DataFrame, prices: DataFrame) -> None:
+    if "ts" not in features.columns or len(features.columns) < 2 or not {"ts", "close"} <= set(prices.columns):
+        raise ConfigError("features need ts and at least one feature, prices need ts and close")
+
+
+def _causal(factors: list[Factor], features: DataFrame) -> None:
+    """Both layers of the causality check, for all factors in two jobs."""
+    for factor in factors:
+        assert_causal_safe(factor.root)
+        compile_factor(factor)
+    nodes = {f"_factor{i}": f.root for i, f in enumerate(factors) if unique_features(f.root)}
+    if nodes:
+        panel = features.withColumn("k", F.lit("series"))
+        cutoffs = leak_cutoffs(panel, *nodes.values())
+        leaks = future_leaks_of(panel, nodes, cutoffs).where("leaks > 0").orderBy("cutoff", "factor").limit(1).collect() if cutoffs else []
+        if leaks:
+            raise LookAheadDetected(f"values of {factors[int(leaks[0]['factor'].removeprefix('_factor'))].name} before {leaks[0]['cutoff']} change with the future")
+
+
+def _simulated(
+    factors: list[Factor],
+    *,
+    features: DataFrame,
+    prices: DataFrame,
+    regime_labels: DataFrame | None = None,
+    splits: DataSplits,
+    cost_model: CostModel,
+    walk_forward_config: WalkForwardConfig,
+    funding_rate: DataFrame | None = None,
+    signal_rule: Callable[[Column], tuple[Column, Column]] | None = None,
+    feature_source_names: dict[str, str] | None = None,
+    ledger=None,
+    ledger_prior_count: int = 1,
+    ledger_sharpe_variance: float = 0.0,
+    similarity: float = math.nan,
+    initial_cash: float = 10_000.0,
+    freq: str = "1h",
+    min_test_bars: int = 24,
+) -> list[BacktestResult]:
+    """The results of checked factors: folds, data version, and one job for all numbers."""
+    if ledger is not None:
+        ledger_prior_count, ledger_sharpe_variance = ledger.count_finite_experiments(), ledger.sharpe_variance_across_trials()
+    folds = iter_folds(prices, splits, walk_forward_config, min_test_bars=min_test_bars)
+    if not folds:
+        raise ConfigError("no fold has enough bars before train_end")
     periods = M.PERIODS.get(freq.lower(), M.DEFAULT_PERIODS)
+    names = {f"f{i}": f.root for i, f in enumerate(factors)}
+    values = evaluate(features.withColumn("k", F.lit("series")), names)
+    # A row per factor and time: the factor is the key of every window from here on.
+    long = values.select("ts", F.explode(F.array(*[F.struct(F.lit(n).alias("k"), F.col(n).alias("factor")) for n in names])).alias("v")).select("ts", "v.*")
     keys = ("k",)
-    values = evaluate(panel, {"_factor": node}).select("ts", "k", F.col("_factor").alias("factor"))
-    signalled = shifted_signals(values, *(signal_rule or default_signal_rule)(F.col("factor")), keys=keys, order=("ts",))
-    bars = prices.select("ts", "close").join(signalled.select("ts", "factor", "entry", "exit"), "ts", "left")
-    bars = bars.withColumns({"k": F.lit("series"), "entry": F.coalesce("entry", F.lit(False)), "exit": F.coalesce("exit", F.lit(False))})
+    signalled = shifted_signals(long, *(signal_rule or default_signal_rule)(F.col("factor")), keys=keys, order=("ts",))
+    every = prices.select("ts", "close", F.explode(F.array(*map(F.lit, names))).alias("k"))
+    bars = every.join(signalled.select("ts", "k", "factor", "entry", "exit"), ["ts", "k"], "left")
+    # A bar without a signal neither enters nor leaves; the others were shifted above.
+    bars = as_shifted(bars.withColumns({"entry": F.coalesce("entry", F.lit(False)), "exit": F.coalesce("exit", F.lit(False))}))
     if funding_rate is not None:
         bars = bars.join(funding_rate.select("ts", "rate"), "ts", "left")
     if regime_labels is not None:
         bars = bars.join(regime_labels.select("ts", *[c for c in REGIMES if c in regime_labels.columns]), "ts", "left")
-    folds = iter_folds(prices, splits, walk_forward_config, min_test_bars=min_test_bars)
-    if not folds:
-        raise ConfigError("no fold has enough bars before train_end")
-    # Five aggregates read the simulation; an executor that is lost recomputes its part.
-    sim = simulate(in_folds(bars, folds, in_sample=True), cost_model, cash=initial_cash).persist()
+    # Several aggregates read the simulation; an executor that is lost recomputes its part.
+    sim = simulate_fold(in_folds(bars, folds, in_sample=True), cost_model, cash=initial_cash).persist()
     outer = sim.where("fold_id >= 0")
     net, gross = F.col("net_return"), F.col("gross_return")
     regimes = {field: M.sharpe(F.when(F.col(dim) == label, net)) for dim, fields in REGIMES.items() if dim in bars.columns for label, field in fields.items()}
     # Folds may overlap: their bars then count once each, in fold order.
-    curve = M.return_metrics(outer.select(F.lit("all").alias("g"), "fold_id", "ts", "net_return"), keys=("g",), order=("fold_id", "ts"), r="net_return", periods=periods).first()
-    more = outer.agg(M.sharpe(gross, periods).alias("gross"), M.sharpe(net).alias("at_default"), *[c.alias(n) for n, c in regimes.items()]).first().asDict()
-    inner = sim.where("fold_id = -1").agg(F.when(F.count("*") >= IN_SAMPLE_BARS, M.sharpe(net, periods)).alias("v")).first()["v"]
-    total = aggregate_folds(fold_results(outer)).first()
+    curve = M.return_metrics(outer.select("k", "fold_id", "ts", "net_return"), keys=keys, order=("fold_id", "ts"), r="net_return", periods=periods)
+    more = outer.groupBy("k").agg(M.sharpe(gross, periods).alias("gross"), M.sharpe(net).alias("at_default"), *[c.alias(n) for n, c in regimes.items()])
+    inner = sim.where("fold_id = -1").groupBy("k").agg(F.when(F.count("*") >= IN_SAMPLE_BARS, M.sharpe(net, periods)).alias("inner"))
+    total = aggregate_folds(fold_results(outer))
     w = Window.partitionBy("k").orderBy("ts")
     forward = bars.withColumn("forward", F.try_divide(F.lead("close").over(w), F.col("close")) - 1)
-    ic = M.ic_summary(M.ic_series(forward, keys=keys)).first()
+    ic = M.ic_summary(M.ic_series(forward, keys=keys), keys=keys)
+    found = curve.join(more, "k").join(total, "k").join(inner, "k", "left").join(ic, "k", "left")
+    by_factor = {r["k"]: r.asDict() for r in found.collect()}  # one row a factor
     sim.unpersist()
+    version = data_version(features, [c for c in features.columns if c != "ts"], feature_source_names)
+    return [_result(f, by_factor[n], version, periods, ledger_prior_count, ledger_sharpe_variance, similarity) for n, f in zip(names, factors, strict=True)]
+
+
+def _result(factor: Factor, row: dict, version: str, periods: float, trials: int, variance: float, similarity: float) -> BacktestResult:
     number = lambda v: math.nan if v is None else float(v)
-    size = factor_complexity(node)
+    size, n = factor_complexity(factor.root), row["n"]
     dsr = math.nan
-    if curve["n"] >= 4 and ledger_prior_count >= 2:
-        dsr = M.deflated_sharpe_ratio(sharpe=number(more["at_default"]), n_trials=ledger_prior_count, skew=number(curve["skew"]), kurt=number(curve["kurt"]) + 3, n_observations=curve["n"], sharpe_variance=ledger_sharpe_variance)
-    result = BacktestResult(
-        factor_id=factor_id(node), factor_name=factor.name, run_timestamp=datetime.now(UTC),
-        data_version=data_version(features, [c for c in features.columns if c != "ts"], feature_source_names),
-        sharpe=number(curve["sharpe"]), sortino=number(curve["sortino"]), calmar=number(curve["calmar"]), max_drawdown=number(curve["max_drawdown"]),
-        annualized_return=number(curve["annualized_return"]), total_return=number(curve["total_return"]),
-        ic_mean=number(ic and ic["ic_mean"]), ic_std=number(ic and ic["ic_std"]), ic_ir=number(ic and ic["ic_ir"]), hit_rate=number(curve["hit_rate"]),
-        gross_sharpe=number(more["gross"]), net_sharpe=number(curve["sharpe"]), turnover_annual=total["turnover"] * periods / max(curve["n"], 1),
-        total_fees_paid=total["total_fees_paid"], total_slippage_paid=total["total_slippage_paid"],
-        **{f: number(more.get(f)) for fields in REGIMES.values() for f in fields.values()},
-        walk_forward_sharpe_mean=number(total["walk_forward_sharpe_mean"]), walk_forward_sharpe_std=number(total["walk_forward_sharpe_std"]),
-        in_sample_sharpe=number(inner), out_of_sample_sharpe=number(curve["sharpe"]), deflated_sharpe_ratio=dsr,
-        n_experiments_in_ledger=ledger_prior_count, complexity_scalar=size.scalar, factor_ast_depth=size.depth, factor_node_count=size.nodes,
-        factor_max_similarity_to_zoo=factor_max_similarity_to_zoo, n_trades=total["n_trades"], avg_trade_duration_hours=total["avg_trade_duration_hours"],
-        avg_position_size=total["avg_position_size"], max_leverage_used=total["max_leverage_used"],
+    if n >= 4 and trials >= 2:
+        dsr = M.deflated_sharpe_ratio(sharpe=number(row["at_default"]), n_trials=trials, skew=number(row["skew"]), kurt=number(row["kurt"]) + 3, n_observations=n, sharpe_variance=variance)
+    same = ("sharpe", "sortino", "calmar", "max_drawdown", "annualized_return", "total_return", "ic_mean", "ic_std", "ic_ir", "hit_rate", "walk_forward_sharpe_mean", "walk_forward_sharpe_std")
+    return BacktestResult(
+        factor_id=factor_id(factor.root), factor_name=factor.name, run_timestamp=datetime.now(UTC), data_version=version,
+        **{f: number(row[f]) for f in same}, **{f: number(row.get(f)) for fields in REGIMES.values() for f in fields.values()},
+        gross_sharpe=number(row["gross"]), net_sharpe=number(row["sharpe"]), turnover_annual=row["turnover"] * periods / max(n, 1),
+        total_fees_paid=row["total_fees_paid"], total_slippage_paid=row["total_slippage_paid"],
+        in_sample_sharpe=number(row["inner"]), out_of_sample_sharpe=number(row["sharpe"]), deflated_sharpe_ratio=dsr,
+        n_experiments_in_ledger=trials, complexity_scalar=size.scalar, factor_ast_depth=size.depth, factor_node_count=size.nodes,
+        factor_max_similarity_to_zoo=similarity, n_trades=row["n_trades"], avg_trade_duration_hours=row["avg_trade_duration_hours"],
+        avg_position_size=row["avg_position_size"], max_leverage_used=row["max_leverage_used"],
     )
-    if ledger is not None:
-        ledger.append(factor=factor, result=result)
-    return result

@@ -89,17 +89,26 @@ def future_leaks(panel: DataFrame, node: FactorNode, cutoffs: list, *, keys: tup
     its own, compared row by row with the undisturbed one. A causal factor
     gives the same bits, so equality is exact.
     """
+    found = future_leaks_of(panel, {"factor": node}, cutoffs, keys=keys, ts=ts, order=order, disturbance=disturbance)
+    return found.drop("factor")
+
+
+def future_leaks_of(panel: DataFrame, nodes: dict[str, FactorNode], cutoffs: list, *, keys: tuple[str, ...] = ("k",), ts: str = "ts", order: tuple[str, ...] | None = None, disturbance: float = 9999.0) -> DataFrame:
+    """factor, cutoff, leaks: ``future_leaks`` of many factors by name, in one plan."""
     order = order or (ts,)
-    read = sorted(unique_features(node))
+    read = sorted(frozenset().union(*map(unique_features, nodes.values())))
     cut = F.explode(F.array(F.struct(F.lit(-1).alias("c"), F.lit(None).cast(panel.schema[ts].dataType).alias("at")), *[F.struct(F.lit(i).alias("c"), F.lit(at).cast(panel.schema[ts].dataType).alias("at")) for i, at in enumerate(cutoffs)])).alias("_cut")
     copies = panel.select(*[quoted(c) for c in dict.fromkeys((*keys, *order, *read))], cut).select("*", F.col("_cut.c").alias("_c"), F.col("_cut.at").alias("_at")).drop("_cut")
     for f in read:
         copies = copies.withColumn(f, F.when(quoted(ts) >= F.col("_at"), F.lit(disturbance)).otherwise(quoted(f)))
-    values = evaluate(copies, {"_factor": node}, keys=("_c", *keys), order=order)
-    base = values.where("_c = -1").select(*[quoted(c) for c in dict.fromkeys((*keys, *order))], F.col("_factor").alias("_base"))
+    own = {f"_f{i}": n for i, n in enumerate(nodes.values())}
+    values = evaluate(copies, own, keys=("_c", *keys), order=order)
+    base = values.where("_c = -1").select(*[quoted(c) for c in dict.fromkeys((*keys, *order))], *[F.col(n).alias(f"{n}_base") for n in own])
     past = values.where(F.col("_c") >= 0).where(quoted(ts) < F.col("_at"))
     joined = past.join(base, list(dict.fromkeys((*keys, *order))))
-    return joined.groupBy(F.col("_at").alias("cutoff")).agg(F.count_if(~F.col("_factor").eqNullSafe(F.col("_base"))).alias("leaks"))
+    counts = joined.groupBy(F.col("_at").alias("cutoff")).agg(*[F.count_if(~F.col(n).eqNullSafe(F.col(f"{n}_base"))).alias(n) for n in own])
+    each = F.explode(F.array(*[F.struct(F.lit(name).alias("factor"), F.col(n).alias("leaks")) for n, name in zip(own, nodes, strict=True)]))
+    return counts.select("cutoff", each.alias("v")).select("v.factor", "cutoff", "v.leaks")
 
 
 def assert_causal(panel: DataFrame, node: FactorNode, cutoffs: list, **where) -> None:

@@ -7,21 +7,31 @@ items. Values are rounded to six digits on both sides.
 
 from __future__ import annotations
 
+import functools
 import math
+import re
+import tempfile
+import uuid
 from collections.abc import Callable
+from dataclasses import fields
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .errors import ConfigError, ParseError
 from .functions import costs, metrics, regime
-from .model import CostModel, DataSplits, Factor, WalkForwardConfig, factor_id
+from .model import BacktestResult, CostModel, DataSplits, Factor, WalkForwardConfig, factor_id
+from .operators import registry
 from .plans import backtest
 from .plans.compiler import evaluate, future_leaks
 from .plans.complexity import ast_similarity, behavioural_similarity, factor_complexity
-from .plans.parser import parse_string, serialise_to_json
+from .plans.ledger import Ledger
+from .plans.parser import parse_json, parse_string, serialise_to_json, serialise_to_string
+from .sources import registry as sources
 from .sources import schemas, store
+from .streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -240,7 +250,7 @@ def merge_existing_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two batches merged, one row per user and day: stored rows win, then the first."""
     rows = _table(spark, sf_dir, "events").select("user_id", F.date_trunc("day", "ts").alias("day"), "event_id", "value", "event_type")
     old, new = (rows.where(c).drop("event_type") for c in ("event_type = 'click'", "event_type <> 'click'"))
-    return store.merge_existing_first(old, new, keys=("user_id", "day")).select("user_id", "event_id", F.round("value", 6).alias("value"))
+    return store.merge_existing_first(old, new, keys=("user_id", "day"), arrival="event_id").select("user_id", "event_id", F.round("value", 6).alias("value"))
 
 
 SPLITS = DataSplits(datetime(1998, 1, 1, tzinfo=UTC), datetime(2000, 1, 1, tzinfo=UTC))
@@ -491,3 +501,217 @@ def run_backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = {str: "string", int: "long", float: "double", datetime: "timestamp"}
     schema = ", ".join(f"{k} {kinds[type(getattr(result, k))]}" for k in values)
     return spark.createDataFrame([tuple(values.values())], schema)
+
+
+@query(
+    _RETURNS
+    + """, m AS (SELECT product(1 + r) AS g, count(r) AS n FROM q), e AS (SELECT ts, product(1 + r) OVER (ORDER BY ts) AS equity FROM q WHERE r IS NOT NULL),
+ k AS (SELECT min((equity - peak) / peak) AS drawdown FROM (SELECT equity, max(equity) OVER (ORDER BY ts) AS peak FROM e))
+SELECT round(pow(g, 365.0 / n) - 1, 6) AS annualized_return, round((pow(g, 365.0 / n) - 1) / abs(drawdown), 6) AS calmar FROM m, k"""
+)
+def annual_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = metrics.return_metrics(returns(spark, sf_dir), keys=("k",), periods=metrics.periods_per_year_for("1d"))
+    return out.select(F.round("annualized_return", 6).alias("annualized_return"), F.round("calmar", 6).alias("calmar"))
+
+
+@query(
+    DAILY
+    + """, n AS (SELECT ts, revenue AS f, lead(close) OVER (ORDER BY ts) / close - 1 AS g FROM d), a AS (SELECT * FROM n WHERE f IS NOT NULL AND g IS NOT NULL),
+ i AS (SELECT ts, CASE WHEN count(*) OVER w = 20 THEN corr(f, g) OVER w END AS ic FROM a WINDOW w AS (ORDER BY ts ROWS 19 PRECEDING))
+SELECT ts, round(ic, 6) AS ic FROM i WHERE ic IS NOT NULL"""
+)
+def ic_pearson(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.ic_series(_forward(spark, sf_dir), keys=("k",), method="pearson").select("ts", F.round("ic", 6).alias("ic"))
+
+
+_DEFAULTS = (("w = 50", "w = 200"), ("ROWS 49", "ROWS 199"), ("lag(sma, 10)", "lag(sma, 30)"), (")) / 10 AS", ")) / 30 AS"), ("sd < 2.0", "sd < 0.4"), ("sd > 4.0", "sd > 0.8"))
+_DEFAULT_LABELS = _LABELS
+for _a, _b in _DEFAULTS:
+    _DEFAULT_LABELS = _DEFAULT_LABELS.replace(_a, _b)
+
+
+@query(_DEFAULT_LABELS + " SELECT ts, trend, vol, funding FROM l")
+def default_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The regime labels under the default windows and thresholds."""
+    return regime.build_default_labels(daily(spark, sf_dir), rate="rate").select("ts", "trend", "vol", "funding")
+
+
+_CUTOFFS = [datetime(2024, 1, d) for d in (6, 10, 14, 18, 22)]
+
+
+@query(
+    TAPE
+    + f""", c AS (SELECT unnest([{', '.join(f"TIMESTAMP '{d}'" for d in _CUTOFFS)}]) AS cutoff), d AS (SELECT *, CASE WHEN ts >= cutoff THEN 9999.0 ELSE x END AS z FROM t, c),
+ m AS (SELECT cutoff, ts, CASE WHEN count(x) OVER w = 20 THEN avg(x) OVER w END AS a, CASE WHEN count(z) OVER w = 20 THEN avg(z) OVER w END AS b FROM d WINDOW w AS (PARTITION BY cutoff, k ORDER BY ts, event_id ROWS 19 PRECEDING))
+SELECT cutoff, count(*) FILTER (ts < cutoff AND round(a, 9) IS DISTINCT FROM round(b, 9)) AS leaks FROM m GROUP BY cutoff"""
+)
+def causality_of_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Past values of a trailing mean that change when the future does, recomputed on every disturbed copy."""
+    return future_leaks(tape(spark, sf_dir), parse_string('ts_mean("x", 20)'), _CUTOFFS, order=("ts", "event_id"))
+
+
+_SHOWN_FACTORS = {
+    FLAGSHIP: '{"args":[{"args":["close",5],"kwargs":{},"op":"ts_pct_change"},20],"kwargs":{},"op":"ts_zscore"}',
+    'ts_mean("x", 20)': '{"args":["x",20],"kwargs":{},"op":"ts_mean"}',
+    'sub("x", ts_mean("y", 20))': '{"args":["x",{"args":["y",20],"kwargs":{},"op":"ts_mean"}],"kwargs":{},"op":"sub"}',
+    'if_else(greater_than("x", 50), abs("x"), "y")': '{"args":[{"args":["x",50],"kwargs":{},"op":"greater_than"},{"args":["x"],"kwargs":{},"op":"abs"},"y"],"kwargs":{},"op":"if_else"}',
+}
+
+
+@query(
+    f"""WITH c AS (SELECT unnest([{', '.join(f"'{c}'" for c in _SHOWN_FACTORS.values())}]) AS canonical),
+ n AS (SELECT canonical, len(regexp_extract_all(canonical, '"op":')) AS nodes,
+   len(list_distinct(regexp_extract_all(regexp_replace(regexp_replace(canonical, '"op":"[^"]*"', '', 'g'), '"(args|kwargs)":', '', 'g'), '"([^"]*)"', 1))) AS features,
+   list_max(list_transform(range(1, len(canonical) + 1), lambda i: len(regexp_replace(canonical[1:i], '[^\\[]', '', 'g')) - len(regexp_replace(canonical[1:i], '[^\\]]', '', 'g')))) AS depth FROM c)
+SELECT 'f_' || sha256(canonical)[1:16] AS factor_id, canonical, CAST(depth AS INTEGER) AS depth, CAST(nodes AS INTEGER) AS nodes, CAST(features AS INTEGER) AS features,
+ round(0.4 * depth / 7 + 0.4 * nodes / 30 + 0.2 * features / 6, 6) AS scalar FROM n"""
+)
+def factor_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Id, canonical form, depth, nodes, features and complexity, by way of JSON and text and back."""
+    nodes = [parse_string(serialise_to_string(parse_json(serialise_to_json(parse_string(t))))) for t in _SHOWN_FACTORS]
+    rows = [(factor_id(n), serialise_to_json(n), c.depth, c.nodes, c.features, round(c.scalar, 6)) for n in nodes for c in [factor_complexity(n)]]
+    return spark.createDataFrame(rows, "factor_id string, canonical string, depth int, nodes int, features int, scalar double")
+
+
+_WRITTEN = {'ts_mean("x", 20)': True, 'add(5, "x")': True, "ts_mean(x, 20)": False, 'ts_mean("x")': False, 'nothing("x")': False, 'ts_mean("x", window=20)': False, '"x"': False, 'ts_mean("x", "y")': False}
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{t}', {str(v).lower()})" for t, v in _WRITTEN.items()) + ") v(text, accepted)")
+def parser_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts that are factors and texts that are not: names, arities, types and calls are checked."""
+
+    def accepted(text: str) -> bool:
+        try:
+            parse_string(text)
+        except ParseError:
+            return False
+        return True
+
+    return spark.createDataFrame([(t, accepted(t)) for t in _WRITTEN], "text string, accepted boolean")
+
+
+@query(f"SELECT unnest({sorted({*TS, *MATH, *LOGIC, *ALIASES, 'ts_rank', 'ts_argmax', 'ts_argmin', 'ts_decay_linear', 'ts_ema'} - {'add_scalar'})}) AS name, true AS causal_safe")
+def operators_listed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The registry: every operator of the language, none of which looks ahead."""
+    rows = [(n, registry.get_operator_causal_safe(n)) for n in registry.list_operators() if registry.has_operator(n)]
+    return spark.createDataFrame(rows, "name string, causal_safe boolean")
+
+
+@query("SELECT * FROM (VALUES ('1h', 8760.0::DOUBLE, 3600::BIGINT), ('4h', 2190.0, 14400), ('1d', 365.0, 86400), ('1w', 52.0, 604800)) v(freq, periods, seconds)")
+def frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [(f, metrics.periods_per_year_for(f), int(store.freq_to_timedelta(f).total_seconds())) for f in ("1h", "4h", "1d", "1w")]
+    return spark.createDataFrame(rows, "freq string, periods double, seconds long")
+
+
+@query(
+    """WITH e AS (SELECT event_id, ts + to_days(CAST((event_id % 3 - 1) * 365 AS INTEGER)) AS ts FROM events)
+SELECT event_id, CASE WHEN ts < TIMESTAMP '2024-01-01' THEN 'train' WHEN ts < TIMESTAMP '2025-01-01' THEN 'validation' ELSE 'test' END AS split FROM e"""
+)
+def default_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of three years under the default boundaries."""
+    days = F.make_dt_interval(((F.col("event_id") % 3 - 1) * 365).cast("int"))
+    rows, splits = _table(spark, sf_dir, "events").select("event_id", (F.col("ts") + days).alias("ts")), DataSplits()
+    parts = {"train": store.split_train(rows, splits, ts="ts"), "validation": store.split_validation(rows, splits, ts="ts"), "test": store.split_test(rows, splits, reveal_test_set=True, reason="query", ts="ts")}
+    return functools.reduce(DataFrame.union, (d.select("event_id", F.lit(n).alias("split")) for n, d in parts.items()))
+
+
+def _scratch(spark: SparkSession, name: str) -> str:
+    """A new folder for a query that writes, beside the checkpoints; a session on one machine may have none."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ConfigError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='tessera-')}"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def _ledger(spark: SparkSession, sf_dir: str) -> Ledger:
+    """One experiment a region, the last without a Sharpe ratio."""
+    ledger = Ledger(f"{_scratch(spark, 'ledger').removeprefix('file://')}/ledger.jsonl")
+    plain = {"str": "-", "int": 1, "float": 0.5, "datetime": datetime(2024, 1, 1, tzinfo=UTC)}
+    for key, name in sorted(map(tuple, _table(spark, sf_dir, "region").select("r_regionkey", "r_name").collect())):  # five rows
+        values = {f.name: plain[f.type] for f in fields(BacktestResult)} | {"factor_name": name, "sharpe": key / 10 if key < 4 else math.nan, "n_trades": key}
+        ledger.append(factor=Factor(name, "", "", parse_string('ts_mean("x", 20)')), result=BacktestResult(**values))
+    return ledger
+
+
+@query("SELECT r_name AS factor_name, CASE WHEN r_regionkey < 4 THEN r_regionkey / 10 END AS sharpe, CAST(r_regionkey AS BIGINT) AS n_trades FROM region")
+def ledger_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Experiments written to a ledger and read back as a table."""
+    return _ledger(spark, sf_dir).table(spark).select("factor_name", F.when(~F.isnan("sharpe"), F.col("sharpe")).alias("sharpe"), "n_trades")
+
+
+@query("SELECT count(*) AS experiments, count(*) FILTER (r_regionkey < 4) AS finite, round(var_samp(r_regionkey / 10) FILTER (r_regionkey < 4), 6) AS variance FROM region")
+def ledger_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ledger = _ledger(spark, sf_dir)
+    return spark.createDataFrame([(ledger.count_experiments(), ledger.count_finite_experiments(), round(ledger.sharpe_variance_across_trials(), 6))], "experiments long, finite long, variance double")
+
+
+@query("SELECT sha256(string_agg(r_name, ',' ORDER BY r_regionkey)) AS digest FROM region")
+def file_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = [r[1] for r in sorted(map(tuple, _table(spark, sf_dir, "region").select("r_regionkey", "r_name").collect()))]
+    path = f"{tempfile.mkdtemp(prefix='tessera-')}/names"
+    with open(path, "w", encoding="utf-8") as f:
+        f.write(",".join(names))
+    return spark.createDataFrame([(store.compute_file_hash(path),)], "digest string")
+
+
+class TapeSource:
+    """A data source over the event tape: hourly bars of one event type."""
+
+    name, data_type, symbols = "tape", schemas.DataType.OHLCV, ("click", "view")
+
+    def __init__(self, sf_dir: str):
+        self.sf_dir = sf_dir
+
+    def fetch(self, spark: SparkSession, symbol: str, *, start: datetime, end: datetime, freq: str) -> DataFrame:
+        rows = _table(spark, self.sf_dir, "events").where(F.col("event_type") == symbol).select(F.col("ts").cast("timestamp").alias("ts"), (F.abs("value") + 1).alias("value"))
+        return store.resample_ohlcv(rows.where((F.col("ts") >= F.lit(start)) & (F.col("ts") < F.lit(end))), keys=())
+
+    def earliest_available(self, symbol: str) -> datetime:
+        return datetime(2024, 1, 1, tzinfo=UTC)
+
+
+_STORED = """WITH b AS (SELECT date_trunc('hour', ts)::TIMESTAMP AS ts, arg_min(abs(value) + 1, ts) AS open, max(abs(value) + 1) AS high, min(abs(value) + 1) AS low, arg_max(abs(value) + 1, ts) AS close, count(*)::DOUBLE AS volume
+  FROM events WHERE event_type = 'click' AND ts < TIMESTAMP '2024-01-28' GROUP BY 1)"""
+
+
+@query(
+    _STORED
+    + """ SELECT ts, round(open, 6) AS open, round(close, 6) AS close, volume, CASE WHEN ts < TIMESTAMP '2024-01-10' THEN 'train' WHEN ts < TIMESTAMP '2024-01-20' THEN 'validation' ELSE 'test' END AS split, 'tape' AS source FROM b"""
+)
+def store_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two increments fetched from a registered source, merged, validated, published, and loaded by split."""
+    base, source, at = _scratch(spark, "store"), TapeSource(sf_dir), lambda d: datetime(2024, 1, d, tzinfo=UTC)
+    sources.unregister_source(source.data_type, source.name)
+    sources.register_source(source)
+    for end in (15, 28):
+        store.run_source(spark, sources.get_source(source.data_type, "tape"), "click", base=base, start=source.earliest_available("click"), end=at(end), freq="1h")
+    splits, where = DataSplits(at(10), at(20)), (spark, base, "tape", ["click"])
+    parts = {"train": store.load_train(*where, splits), "validation": store.load_validation(*where, splits), "test": store.load_test(*where, splits, reveal_test_set=True, reason="query")}
+    named = store.read_source_name(spark.read.parquet(store.canonical_path(base, source.data_type, "tape", "click", "1h")))
+    rows = functools.reduce(DataFrame.union, (d["click"].withColumn("split", F.lit(n)) for n, d in parts.items()))
+    return rows.select(F.col("timestamp").cast("timestamp_ntz").alias("ts"), F.round("open", 6).alias("open"), F.round("close", 6).alias("close"), "volume", "split", F.lit(named).alias("source"))
+
+
+@query(
+    """WITH b AS (SELECT event_type AS k, date_trunc('hour', ts)::TIMESTAMP AS ts, arg_min(value, ts) AS open, max(value) AS high, count(*)::DOUBLE AS volume FROM events GROUP BY 1, 2)
+SELECT k, ts, round(open, 6) AS open, round(high, 6) AS high, volume FROM b WHERE ts + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE"""
+)
+def streamed_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars of a stream of tape files, appended once the watermark has passed them."""
+    at = _scratch(spark, "stream")
+    schema = _table(spark, sf_dir, "events").schema
+    stream = ingest.stream_bars(spark, f"{sf_dir}/events.parquet*", schema, keys=("event_type",))
+    ingest.append_new(stream, f"{at}/bars", f"{at}/progress", keys=("event_type", "timestamp")).awaitTermination()
+    rows = spark.read.parquet(f"{at}/bars")
+    return rows.select(F.col("event_type").alias("k"), F.col("timestamp").cast("timestamp_ntz").alias("ts"), F.round("open", 6).alias("open"), F.round("high", 6).alias("high"), "volume")
+
+
+@query()
+def run_backtests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twenty factors on the daily series in one plan: a row of results each."""
+    rows = daily(spark, sf_dir).select("ts", "close").withColumn("ts", F.col("ts").cast("timestamp"))
+    factors = [Factor(f"momentum {a} {b}", "", "", parse_string(f'ts_zscore(ts_pct_change("close", {a}), {b})')) for a in (1, 2, 3, 5, 8) for b in (10, 20, 30, 40)]
+    found = backtest.run_backtests(factors, features=rows, prices=rows, splits=FOLD_SPLITS, cost_model=CostModel(), walk_forward_config=CONFIG, freq="1d")
+    return spark.createDataFrame([(r.factor_name, r.factor_id, r.sharpe, r.total_return, r.max_drawdown, r.n_trades) for r in found], "factor_name string, factor_id string, sharpe double, total_return double, max_drawdown double, n_trades long")
