@@ -238,7 +238,10 @@ def similar(named: DataFrame, similarity: float = 0.8, shingle: int = 5) -> Data
     shared = stored(buckets.join(pivot, ["band", "value"]), "shared")
     open_ = (F.bit_count(F.col("a_fp").bitwiseXOR(F.col("fp"))) <= CANDIDATE_BITS) & (F.least("a_size", "size") >= F.greatest("a_size", "size") * similarity)
     pairs = shared.where(open_ & (F.col("a") != F.col("node"))).select("a", F.col("node").alias("b")).distinct()
-    linked = _verified(rows, pairs, similarity, shingle)
+    # The texts of all that share a bucket, fetched once: what follows moves no others.
+    members = shared.select(F.col("node").alias("row")).distinct()
+    texts = stored(rows.select("row", "text").join(members, "row", "left_semi"), "texts")
+    linked = _verified(texts, pairs, similarity, shingle)
     discard(buckets, pivot)
     labels = stored(components(linked), "labels")
     # The pivot has settled a bucket of two.
@@ -250,17 +253,17 @@ def similar(named: DataFrame, similarity: float = 0.8, shingle: int = 5) -> Data
     few = rooted.join(mixed.where(F.col("n") <= SMALL_BUCKET).select("band", "value"), ["band", "value"], "left_semi")
     others = few.select("band", "value", F.col("node").alias("a"), F.col("fp").alias("a_fp"), F.col("size").alias("a_size"), F.col("root").alias("a_root"))
     more = few.join(others, ["band", "value"]).where("a < node").where(open_ & (F.col("a_root") != F.col("root"))).select("a", F.col("node").alias("b")).distinct()
-    found = [linked, _verified(rows, more, similarity, shingle)]
+    found = [linked, _verified(texts, more, similarity, shingle)]
     large = stored(mixed.where(F.col("n") > SMALL_BUCKET), "large")
     if not large.isEmpty():
-        found.append(_within_large(rows, rooted, large, similarity, shingle))
+        found.append(_within_large(texts, rooted, large, similarity, shingle))
     labels = components(functools.reduce(DataFrame.union, found))
     discard(shared, by_root, mixed)
     roots = stored(nodes.join(labels, "node", "left").select("whole", F.coalesce("root", "node").alias("root")), "roots")
     return rows.select("id", "key", "whole").join(roots, "whole").select("id", "key", "root")
 
 
-def _within_large(rows: DataFrame, rooted: DataFrame, large: DataFrame, similarity: float, shingle: int) -> DataFrame:
+def _within_large(texts: DataFrame, rooted: DataFrame, large: DataFrame, similarity: float, shingle: int) -> DataFrame:
     """Links between members of different components in large buckets.
 
     In each bucket the members outside its largest component are a query set
@@ -271,7 +274,6 @@ def _within_large(rows: DataFrame, rooted: DataFrame, large: DataFrame, similari
     hash_of = lambda n: F.pmod(F.xxhash64("node", "band"), n.cast("long")).cast("int")
     blocks, asking = F.ceil(F.col("n") / BLOCK), F.ceil((F.col("n") - F.col("most")) / BLOCK)
     members = rooted.join(large, ["band", "value"]).select("band", "value", "node", "root", (F.col("root") != F.col("main")).alias("stray"), blocks.alias("blocks"), asking.alias("asking"))
-    texts = rows.select("row", "text").join(members.select(F.col("node").alias("row")).distinct(), "row", "left_semi")
     members = stored(members.join(texts.withColumnRenamed("row", "node"), "node"), "members")
     every = lambda n, name: F.explode(F.sequence(F.lit(0), n.cast("int") - 1)).alias(name)
     keys = ("band", "value", "i", "j")
@@ -308,11 +310,9 @@ def _within_large(rows: DataFrame, rooted: DataFrame, large: DataFrame, similari
     return made
 
 
-def _verified(rows: DataFrame, pairs: DataFrame, similarity: float, shingle: int) -> DataFrame:
-    """The pairs (a, b) of row numbers whose texts are as similar."""
+def _verified(texts: DataFrame, pairs: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """The pairs (a, b) of row numbers whose texts (row, text) are as similar."""
     pairs = stored(pairs, "pairs")
-    wanted = pairs.select(F.col("a").alias("row")).union(pairs.select(F.col("b").alias("row"))).distinct()
-    texts = stored(rows.select("row", "text").join(wanted, "row", "left_semi"), "candidates")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, mine = None, np.zeros(0, np.uint64)
@@ -330,7 +330,7 @@ def _verified(rows: DataFrame, pairs: DataFrame, similarity: float, shingle: int
     right = pairs.join(texts.select(F.col("row").alias("b"), F.col("text").alias("b_text")).hint("merge"), "b")
     met = right.join(texts.select(F.col("row").alias("a"), F.col("text").alias("a_text")).hint("merge"), "a").select("a", "b", "a_text", "b_text")
     made = stored(met.mapInArrow(frugal(check), "a long, b long"), "verified")
-    discard(pairs, texts)
+    discard(pairs)
     return made
 
 
