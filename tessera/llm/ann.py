@@ -37,7 +37,7 @@ PART_ROWS, PART_QUERIES = 16_384, 2048
 REPLICAS, REPLICA_RATIO, ROW_BEAM = 8, 1.18, 16
 #: A query's beam is BEAM[0] + BEAM[1] * lists ** BEAM[2]; lists beyond
 #: a ratio of the mean distance of the nearest few are pruned.
-BEAM, QUERY_RATIO, NEAREST = (14, 1.65, 0.66), 1.4, 8
+BEAM, QUERY_RATIO, NEAREST = (24, 2.75, 0.6), 1.4, 8
 #: Neighbours in the graph, random long links beside them, and where walks may start.
 NEAR, FAR, ENTRIES = 20, 4, 128
 
