@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -182,61 +183,196 @@ def keep_first(df: DataFrame, *, id_col: str = "doc_id", text: str = "text", sim
     return met.withColumn(rank, F.row_number().over(order)).where(col(rank) == 1).select(*[col(c) for c in df.columns])
 
 
-#: Of 144 least shingle hashes six at a time make a band: a pair of Jaccard 0.8
-#: has one of 24 bands in common with probability 0.9993, one of 0.9 with more.
-BANDS, BAND_ROWS = 24, 6
-_RNG = np.random.default_rng(20)
-_XOR, _ODD = (_RNG.integers(0, 1 << 64, BANDS * BAND_ROWS, np.uint64)[:, None] for _ in range(2))
-_ODD |= np.uint64(1)
+#: Width in bits of a segment of the long SimHash, and the part of the pairs just
+#: similar enough that may have no segment in common.
+WIDTH, MISSED = 12, 1e-4
+#: Deviations above the mean up to which the first words of the SimHash of a pair may differ.
+DEVIATIONS = 4.6
+#: Rows with one segment beyond which they are compared stray by stray, not pair by pair.
+LONG_RUN = 4096
+#: Words of the long SimHash by which those that share a segment are compared. In
+#: 192 bits unlike texts are never close by chance, so chance joins no buckets.
+NEAR = ("fp", "fp2", "fp3")
+_RECORD = np.dtype([("node", "<i8"), *[(c, "<i8") for c in NEAR], ("size", "<i4"), ("value", "<u2")])
 #: Members up to which the open pairs of a bucket are listed; a larger one is
 #: compared in blocks of so many members a side.
 SMALL_BUCKET, BLOCK = 64, 512
-#: Bits of 64 that the SimHash of a candidate pair may differ in. 9.7 of them
-#: do at Jaccard 0.8 where no shingle repeats; 26 is over five deviations more.
-CANDIDATE_BITS = 26
 
 
-def sketch(text: str, shingle: int) -> tuple[int, bytes, int, list[int]]:
-    """SimHash and digest of the set of shingles, its size, and its bands."""
+def index_shape(rows: int, similarity: float) -> tuple[int, int, tuple[int, int]]:
+    """Number and width of the segments, and bits of 64 and of 192 that candidates may differ in.
+
+    A bit is the same in two sets with probability 1 - angle / pi, so a segment
+    is with a power of that. Beyond 4 million rows a segment gets a bit more for
+    each doubling, up to 16, and there are more segments.
+    """
+    agree = min(1 - math.acos(2 * similarity / (1 + similarity)) / math.pi, 0.999)
+    width = min(16, max(WIDTH, (max(rows - 1, 0) >> 10).bit_length()))
+    count = math.ceil(math.log(MISSED) / math.log1p(-(agree**width)))
+    apart = tuple(int(n * (1 - agree) + DEVIATIONS * math.sqrt(n * agree * (1 - agree))) for n in (64, 64 * len(NEAR)))
+    return count, width, apart
+
+
+def long_fingerprint(hashes: np.ndarray, words: int) -> np.ndarray:
+    """``words`` * 64 majority bits, one a byte: first those of the hashes, then of hashes of them (SplitMix64)."""
+    counts, steps = np.zeros(words * 64, np.int64), np.arange(words, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for lo in range(0, len(hashes), 255):  # sums that fit a byte
+        x = hashes[lo : lo + 255, None] + steps
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(31)
+        x[:, 0] = hashes[lo : lo + 255]
+        counts += np.add.reduce(np.unpackbits(x.view(np.uint8), axis=1, bitorder="little"), axis=0, dtype=np.uint8)
+    return (2 * counts > len(hashes)).view(np.uint8)
+
+
+def sketch(text: str, shingle: int, count: int, width: int) -> tuple[int, int, int, bytes, int, bytes]:
+    """First three words of the SimHash of the set of shingles, digest of the set, its size, and its segments."""
     found = np.unique(shingle_hashes(text, shingle))
     if not len(found):
-        return 0, b"", 0, []
-    step = BANDS * BAND_ROWS if len(found) < 8192 else BAND_ROWS
-    least = np.concatenate([((found ^ _XOR[lo : lo + step]) * _ODD[lo : lo + step]).min(axis=1) for lo in range(0, len(_XOR), step)])
-    bands = [xxhash.xxh64_intdigest(b, k) for k, b in enumerate(map(bytes, least.reshape(BANDS, BAND_ROWS)))]
-    return majority(found), xxhash.xxh3_128_digest(found.tobytes()), len(found), np.array(bands, np.uint64).view(np.int64).tolist()
+        return *[0] * len(NEAR), b"", 0, bytes(2 * count)
+    bits = long_fingerprint(found, max(len(NEAR), -(-count * width // 64)))
+    near = np.packbits(bits[: 64 * len(NEAR)], bitorder="little").view(np.int64).tolist()
+    segments = bits[: count * width].reshape(count, width) @ (1 << np.arange(width))
+    return *near, xxhash.xxh3_128_digest(found.tobytes()), len(found), segments.astype("<u2").tobytes()
+
+
+def _unite(label: np.ndarray, x: np.ndarray, y: np.ndarray) -> None:
+    """Gives rows x and y, and all that have their labels, the same label, in place."""
+    parent = np.arange(len(label))
+    while True:
+        a, b = parent[label[x]], parent[label[y]]
+        if not (a != b).any():
+            label[:] = parent[label]
+            return
+        np.minimum.at(parent, np.maximum(a, b), np.minimum(a, b))
+        while (parent != (up := parent[parent])).any():
+            parent = up
+
+
+def clusters(rows: np.ndarray, apart: tuple[int, int], similarity: float, long_run: int) -> np.ndarray:
+    """A label for each row, sorted by ``value``: rows of one value that a chain of close pairs joins have the same.
+
+    Close means at most ``apart`` bits in the first 64 and in all 192, and sizes that allow the similarity.
+    Rows of a short run are compared pair by pair, all runs at a time. In a long
+    one, some rows at a time are compared with the whole run, until all others
+    have the label that most have; those need no comparison.
+    """
+    value, size = rows["value"].copy(), rows["size"].astype(np.float64)
+    fp, *others = (rows[c].copy().view(np.uint64) for c in NEAR)
+    total, label = len(rows), np.arange(len(rows))
+
+    def close(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        first = np.bitwise_count(fp[x] ^ fp[y])
+        at = np.flatnonzero((first <= apart[0]) & (label[x] != label[y]))
+        x, y, first = x[at], y[at], first[at]
+        ok = (sum((np.bitwise_count(w[x] ^ w[y]) for w in others), first) <= apart[1]) & (np.minimum(size[x], size[y]) >= similarity * np.maximum(size[x], size[y]))
+        return x[ok], y[ok]
+
+    starts = np.flatnonzero(np.r_[True, value[1:] != value[:-1]][:total])
+    lengths = np.diff(np.r_[starts, total])
+    short = lengths <= long_run
+    ends, x = np.repeat(starts + lengths * short, lengths), np.arange(total)
+    for d in range(1, int((lengths * short).max(initial=0))):
+        if 4 * np.maximum(lengths * short - d, 0).sum() > total:  # most rows have one so far on: no need to pick them
+            near = np.bitwise_count(fp[:-d] ^ fp[d:]) <= apart[0]
+            at = np.flatnonzero(near & (value[:-d] == value[d:]))
+            at = at[at + d < ends[at]]
+        else:
+            at = x = x[x + d < ends[x]]
+        a, b = close(at, at + d)
+        if len(a):
+            _unite(label, a, b)
+    for start, n in zip(starts[lengths > long_run].tolist(), lengths[lengths > long_run].tolist(), strict=True):
+        mine, waiting, step = label[start : start + n], np.ones(n, bool), max(1, (1 << 20) // n)
+        while True:
+            main = start + np.bincount(mine - start, minlength=n).argmax()
+            asking = np.flatnonzero(waiting & (mine != main))[:step]
+            if not len(asking):
+                break
+            waiting[asking] = False
+            x, y = np.nonzero(np.bitwise_count(fp[start + asking][:, None] ^ fp[None, start : start + n]) <= apart[0])
+            a, b = close(start + asking[x], start + y)
+            if len(a):
+                _unite(label, a, b)
+    return label
+
+
+def close_buckets(each: DataFrame, rows: int, similarity: float) -> DataFrame:
+    """node, bucket: multi-index search over (node, fp, fp2, fp3, size, segments).
+
+    Each segment of the long SimHash is an index of its own. Nodes that share a
+    segment are compared by Hamming distance, and those joined by a chain of close
+    pairs make a bucket, named by its smallest node. Nodes with nobody close are
+    in none. Records go to tasks packed, by index and by the low bits of the segment.
+    """
+    count, width, apart = index_shape(rows, similarity)
+    parts, long_run = 1 << min(width, (max(rows - 1, 0) >> 15).bit_length()), LONG_RUN
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            records = np.empty(batch.num_rows, _RECORD)
+            for name in ("node", *NEAR, "size"):
+                records[name] = batch.column(name).to_numpy()
+            segments = np.frombuffer(b"".join(batch.column("segments").to_pylist()), "<u2").reshape(-1, count)
+            for k in range(count):
+                records["value"] = segments[:, k]
+                part = segments[:, k] % parts if parts < 1 << 16 else segments[:, k]
+                order = np.argsort(part, kind="stable")
+                held, at = np.unique(part[order], return_index=True)
+                packed = [p.tobytes() for p in np.split(records[order], at[1:])] if len(held) else []
+                yield pa.RecordBatch.from_arrays([pa.array([k] * len(held), pa.int32()), pa.array(held.astype(np.int32)), pa.array(packed, pa.binary())], names=["k", "part", "records"])
+
+    def search(group: pa.Table) -> pa.Table:
+        found = np.frombuffer(b"".join(group.column("records").to_pylist()), _RECORD)
+        found = found[np.lexsort((found["node"], found["value"]))]
+        label = clusters(found, apart, similarity, long_run)
+        least = np.full(len(found), np.iinfo(np.int64).max)
+        np.minimum.at(least, label, found["node"])
+        a, b = least[label], found["node"]
+        at = np.flatnonzero(a != b)
+        give_back()
+        return pa.table({"a": pa.array(a[at], pa.int64()), "b": pa.array(b[at], pa.int64())})
+
+    dealt = each.select("node", *NEAR, "size", "segments").mapInArrow(frugal(deal), "k int, part int, records binary")
+    edges = dealt.groupBy("k", "part").applyInArrow(search, "a long, b long").distinct()
+    return components(edges).withColumnRenamed("root", "bucket")
 
 
 def similar(named: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
     """id, key, root: rows of (id, key, text) and their components.
 
     Two rows link when the Jaccard similarity of their sets of word shingles is
-    ``similarity`` or more, computed from the texts. Candidates share a band of
-    least hashes; those whose SimHash is far apart are spared the comparison.
-    Equal sets are one node. Each bucket is first compared with one pivot. Where
-    that leaves it in several components, members of different ones are all
-    compared: pair by pair in a small bucket, in blocks in a large one, so no
-    candidate is left out.
+    ``similarity`` or more, computed from the texts. Candidates come from the
+    multi-index search of their SimHash. Equal sets are one node. Each bucket is
+    first compared with one pivot. Where that leaves it in several components,
+    members of different ones are all compared: pair by pair in a small bucket,
+    in blocks in a large one, so no candidate is left out.
     """
+    total = named.count()
+    count, width, apart = index_shape(total, similarity)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
                 part = batch.slice(lo, 500)
-                made = [sketch(t.as_py() or "", shingle) for t in part.column(2)]
-                fp, whole, size, bands = zip(*made, strict=True)
-                own = [pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(whole, pa.binary()), pa.array(size, pa.int32()), pa.array(bands, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays([*part.columns, *own], names=["id", "key", "text", "fp", "whole", "size", "bands"])
+                made = [sketch(t.as_py() or "", shingle, count, width) for t in part.column(2)]
+                types = [pa.int64()] * len(NEAR) + [pa.binary(), pa.int32(), pa.binary()]
+                own = [pa.array(c, t) for c, t in zip(zip(*made, strict=True), types, strict=True)]
+                yield pa.RecordBatch.from_arrays([*part.columns, *own], names=["id", "key", "text", *NEAR, "whole", "size", "segments"])
 
-    kinds = f"id {named.schema['id'].dataType.simpleString()}, key long, text string, fp long, whole binary, size int, bands array<long>"
+    kinds = f"id {named.schema['id'].dataType.simpleString()}, key long, text string, fp long, fp2 long, fp3 long, whole binary, size int, segments binary"
     rows = stored(small_batches(named).mapInArrow(frugal(cut), kinds).withColumn("row", F.monotonically_increasing_id()), "sketches")
     nodes = stored(rows.groupBy("whole").agg(F.min("row").alias("node")), "nodes")
-    each = rows.join(nodes.select(F.col("node").alias("row")), "row", "left_semi").select(F.col("row").alias("node"), "fp", "size", F.posexplode("bands").alias("band", "value"))
-    buckets = stored(each, "bands")
-    pivot = buckets.groupBy("band", "value").agg(F.min(F.struct(F.xxhash64("node").alias("h"), "node", "fp", "size")).alias("p"), F.count("*").alias("n"))
-    pivot = stored(pivot.where("n > 1").select("band", "value", F.col("p.node").alias("a"), F.col("p.fp").alias("a_fp"), F.col("p.size").alias("a_size"), "n"), "pivots")
-    shared = stored(buckets.join(pivot, ["band", "value"]), "shared")
-    open_ = (F.bit_count(F.col("a_fp").bitwiseXOR(F.col("fp"))) <= CANDIDATE_BITS) & (F.least("a_size", "size") >= F.greatest("a_size", "size") * similarity)
+    # A set that is not similar to itself with one shingle more is similar to no other.
+    able = rows.where(F.col("size") >= F.lit(float(similarity)) * (F.col("size") + 1))
+    each = able.join(nodes.select(F.col("node").alias("row")), "row", "left_semi").withColumnRenamed("row", "node")
+    buckets = stored(close_buckets(each, total, similarity).join(each.select("node", *NEAR, "size"), "node"), "buckets")
+    pivot = buckets.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("node").alias("h"), "node", *NEAR, "size")).alias("p"), F.count("*").alias("n"))
+    pivot = stored(pivot.select("bucket", *[F.col(f"p.{c}").alias(f"a_{c}") for c in (*NEAR, "size")], F.col("p.node").alias("a"), "n"), "pivots")
+    shared = stored(buckets.join(pivot, "bucket"), "shared")
+    bits = [F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(c))) for c in NEAR]
+    open_ = (bits[0] <= apart[0]) & (functools.reduce(lambda x, y: x + y, bits) <= apart[1]) & (F.least("a_size", "size") >= F.greatest("a_size", "size") * similarity)
     pairs = shared.where(open_ & (F.col("a") != F.col("node"))).select("a", F.col("node").alias("b")).distinct()
     # The texts of all that share a bucket, fetched once: what follows moves no others.
     members = shared.select(F.col("node").alias("row")).distinct()
@@ -245,14 +381,14 @@ def similar(named: DataFrame, similarity: float = 0.8, shingle: int = 5) -> Data
     discard(buckets, pivot)
     labels = stored(components(linked), "labels")
     # The pivot has settled a bucket of two.
-    rooted = shared.where("n > 2").select("band", "value", "node", "fp", "size").join(labels, "node", "left")
+    rooted = shared.where("n > 2").select("bucket", "node", *NEAR, "size").join(labels, "node", "left")
     rooted = stored(rooted.withColumn("root", F.coalesce("root", "node")), "rooted")
-    by_root = stored(rooted.groupBy("band", "value", "root").agg(F.count("*").alias("n")), "by_root")
-    mixed = by_root.groupBy("band", "value").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("most"), F.count("*").alias("roots"))
+    by_root = stored(rooted.groupBy("bucket", "root").agg(F.count("*").alias("n")), "by_root")
+    mixed = by_root.groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("most"), F.count("*").alias("roots"))
     mixed = stored(mixed.where("roots > 1").drop("roots"), "mixed")
-    few = rooted.join(mixed.where(F.col("n") <= SMALL_BUCKET).select("band", "value"), ["band", "value"], "left_semi")
-    others = few.select("band", "value", F.col("node").alias("a"), F.col("fp").alias("a_fp"), F.col("size").alias("a_size"), F.col("root").alias("a_root"))
-    more = few.join(others, ["band", "value"]).where("a < node").where(open_ & (F.col("a_root") != F.col("root"))).select("a", F.col("node").alias("b")).distinct()
+    few = rooted.join(mixed.where(F.col("n") <= SMALL_BUCKET).select("bucket"), "bucket", "left_semi")
+    others = few.select("bucket", F.col("node").alias("a"), *[F.col(c).alias(f"a_{c}") for c in (*NEAR, "size", "root")])
+    more = few.join(others, "bucket").where("a < node").where(open_ & (F.col("a_root") != F.col("root"))).select("a", F.col("node").alias("b")).distinct()
     found = [linked, _verified(texts, more, similarity, shingle)]
     large = stored(mixed.where(F.col("n") > SMALL_BUCKET), "large")
     if not large.isEmpty():
@@ -271,14 +407,14 @@ def _within_large(texts: DataFrame, rooted: DataFrame, large: DataFrame, similar
     and gives links alone. So every pair in question is compared, and none is
     written down.
     """
-    hash_of = lambda n: F.pmod(F.xxhash64("node", "band"), n.cast("long")).cast("int")
+    hash_of = lambda n: F.pmod(F.xxhash64("node", "bucket"), n.cast("long")).cast("int")
     blocks, asking = F.ceil(F.col("n") / BLOCK), F.ceil((F.col("n") - F.col("most")) / BLOCK)
-    members = rooted.join(large, ["band", "value"]).select("band", "value", "node", "root", (F.col("root") != F.col("main")).alias("stray"), blocks.alias("blocks"), asking.alias("asking"))
+    members = rooted.join(large, "bucket").select("bucket", "node", "root", (F.col("root") != F.col("main")).alias("stray"), blocks.alias("blocks"), asking.alias("asking"))
     members = stored(members.join(texts.withColumnRenamed("row", "node"), "node"), "members")
     every = lambda n, name: F.explode(F.sequence(F.lit(0), n.cast("int") - 1)).alias(name)
-    keys = ("band", "value", "i", "j")
-    all_ = members.select("band", "value", "node", "root", "text", hash_of(F.col("blocks")).alias("i"), every(F.col("asking"), "j"))
-    strays = members.where("stray").select("band", "value", "node", "root", "text", hash_of(F.col("asking")).alias("j"), every(F.col("blocks"), "i"))
+    keys = ("bucket", "i", "j")
+    all_ = members.select("bucket", "node", "root", "text", hash_of(F.col("blocks")).alias("i"), every(F.col("asking"), "j"))
+    strays = members.where("stray").select("bucket", "node", "root", "text", hash_of(F.col("asking")).alias("j"), every(F.col("blocks"), "i"))
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
         sets = [[np.unique(shingle_hashes(t.as_py() or "", shingle)) for t in side.column("text")] for side in (left, right)]
