@@ -191,7 +191,7 @@ DEVIATIONS = 4.6
 #: Rows with one segment beyond which they are compared stray by stray, not pair by pair.
 LONG_RUN = 4096
 #: Words of the long SimHash by which those that share a segment are compared. In
-#: 192 bits unlike texts are never close by chance, so chance joins no buckets.
+#: 192 bits unlike texts are hardly ever close by chance, so chance joins no buckets.
 NEAR = ("fp", "fp2", "fp3")
 _RECORD = np.dtype([("node", "<i8"), *[(c, "<i8") for c in NEAR], ("size", "<i4"), ("value", "<u2")])
 #: Members up to which the open pairs of a bucket are listed; a larger one is
