@@ -186,21 +186,18 @@ def keep_first(df: DataFrame, *, id_col: str = "doc_id", text: str = "text", sim
 #: Width in bits of a segment of the long SimHash, and the part of the pairs just
 #: similar enough that may have no segment in common.
 WIDTH, MISSED = 12, 1e-4
-#: Deviations above the mean up to which the first words of the SimHash of a pair may differ.
+#: Deviations above the mean up to which one and two words of the SimHash of a pair may differ.
 DEVIATIONS = 4.6
 #: Rows with one segment beyond which they are compared stray by stray, not pair by pair.
 LONG_RUN = 4096
-#: Words of the long SimHash by which those that share a segment are compared. In
-#: 192 bits unlike texts are hardly ever close by chance, so chance joins no buckets.
-NEAR = ("fp", "fp2", "fp3")
-_RECORD = np.dtype([("node", "<i8"), *[(c, "<i8") for c in NEAR], ("size", "<i4"), ("value", "<u2")])
+_RECORD = np.dtype([("node", "<i8"), ("fp", "<i8"), ("fp2", "<i8"), ("size", "<i4"), ("value", "<u2")])
 #: Members up to which the open pairs of a bucket are listed; a larger one is
 #: compared in blocks of so many members a side.
 SMALL_BUCKET, BLOCK = 64, 512
 
 
 def index_shape(rows: int, similarity: float) -> tuple[int, int, tuple[int, int]]:
-    """Number and width of the segments, and bits of 64 and of 192 that candidates may differ in.
+    """Number and width of the segments, and bits of 64 and of 128 that candidates may differ in.
 
     A bit is the same in two sets with probability 1 - angle / pi, so a segment
     is with a power of that. Beyond 4 million rows a segment gets a bit more for
@@ -209,7 +206,7 @@ def index_shape(rows: int, similarity: float) -> tuple[int, int, tuple[int, int]
     agree = min(1 - math.acos(2 * similarity / (1 + similarity)) / math.pi, 0.999)
     width = min(16, max(WIDTH, (max(rows - 1, 0) >> 10).bit_length()))
     count = math.ceil(math.log(MISSED) / math.log1p(-(agree**width)))
-    apart = tuple(int(n * (1 - agree) + DEVIATIONS * math.sqrt(n * agree * (1 - agree))) for n in (64, 64 * len(NEAR)))
+    apart = tuple(int(n * (1 - agree) + DEVIATIONS * math.sqrt(n * agree * (1 - agree))) for n in (64, 128))
     return count, width, apart
 
 
@@ -226,15 +223,15 @@ def long_fingerprint(hashes: np.ndarray, words: int) -> np.ndarray:
     return (2 * counts > len(hashes)).view(np.uint8)
 
 
-def sketch(text: str, shingle: int, count: int, width: int) -> tuple[int, int, int, bytes, int, bytes]:
-    """First three words of the SimHash of the set of shingles, digest of the set, its size, and its segments."""
+def sketch(text: str, shingle: int, count: int, width: int) -> tuple[int, int, bytes, int, bytes]:
+    """First two words of the SimHash of the set of shingles, digest of the set, its size, and its segments."""
     found = np.unique(shingle_hashes(text, shingle))
     if not len(found):
-        return *[0] * len(NEAR), b"", 0, bytes(2 * count)
-    bits = long_fingerprint(found, max(len(NEAR), -(-count * width // 64)))
-    near = np.packbits(bits[: 64 * len(NEAR)], bitorder="little").view(np.int64).tolist()
+        return 0, 0, b"", 0, bytes(2 * count)
+    bits = long_fingerprint(found, max(2, -(-count * width // 64)))
+    fp, fp2 = np.packbits(bits[:128], bitorder="little").view(np.int64).tolist()
     segments = bits[: count * width].reshape(count, width) @ (1 << np.arange(width))
-    return *near, xxhash.xxh3_128_digest(found.tobytes()), len(found), segments.astype("<u2").tobytes()
+    return fp, fp2, xxhash.xxh3_128_digest(found.tobytes()), len(found), segments.astype("<u2").tobytes()
 
 
 def _unite(label: np.ndarray, x: np.ndarray, y: np.ndarray) -> None:
@@ -253,20 +250,20 @@ def _unite(label: np.ndarray, x: np.ndarray, y: np.ndarray) -> None:
 def clusters(rows: np.ndarray, apart: tuple[int, int], similarity: float, long_run: int) -> np.ndarray:
     """A label for each row, sorted by ``value``: rows of one value that a chain of close pairs joins have the same.
 
-    Close means at most ``apart`` bits in the first 64 and in all 192, and sizes that allow the similarity.
+    Close means at most ``apart`` bits in the first 64 and in all 128, and sizes that allow the similarity.
     Rows of a short run are compared pair by pair, all runs at a time. In a long
     one, some rows at a time are compared with the whole run, until all others
     have the label that most have; those need no comparison.
     """
     value, size = rows["value"].copy(), rows["size"].astype(np.float64)
-    fp, *others = (rows[c].copy().view(np.uint64) for c in NEAR)
+    fp, fp2 = (rows[c].copy().view(np.uint64) for c in ("fp", "fp2"))
     total, label = len(rows), np.arange(len(rows))
 
     def close(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         first = np.bitwise_count(fp[x] ^ fp[y])
         at = np.flatnonzero((first <= apart[0]) & (label[x] != label[y]))
         x, y, first = x[at], y[at], first[at]
-        ok = (sum((np.bitwise_count(w[x] ^ w[y]) for w in others), first) <= apart[1]) & (np.minimum(size[x], size[y]) >= similarity * np.maximum(size[x], size[y]))
+        ok = (first + np.bitwise_count(fp2[x] ^ fp2[y]) <= apart[1]) & (np.minimum(size[x], size[y]) >= similarity * np.maximum(size[x], size[y]))
         return x[ok], y[ok]
 
     starts = np.flatnonzero(np.r_[True, value[1:] != value[:-1]][:total])
@@ -299,12 +296,13 @@ def clusters(rows: np.ndarray, apart: tuple[int, int], similarity: float, long_r
 
 
 def close_buckets(each: DataFrame, rows: int, similarity: float) -> DataFrame:
-    """node, bucket: multi-index search over (node, fp, fp2, fp3, size, segments).
+    """bucket, node, fp, fp2, size: multi-index search over (node, fp, fp2, size, segments).
 
     Each segment of the long SimHash is an index of its own. Nodes that share a
-    segment are compared by Hamming distance, and those joined by a chain of close
-    pairs make a bucket, named by its smallest node. Nodes with nobody close are
-    in none. Records go to tasks packed, by index and by the low bits of the segment.
+    segment are compared by Hamming distance, and those joined by close pairs
+    make a bucket; one that several indexes find alike is given once. Nodes with
+    nobody close are in none. Records go to tasks packed, by index and by the
+    low bits of the segment.
     """
     count, width, apart = index_shape(rows, similarity)
     parts, long_run = 1 << min(width, (max(rows - 1, 0) >> 15).bit_length()), LONG_RUN
@@ -312,7 +310,7 @@ def close_buckets(each: DataFrame, rows: int, similarity: float) -> DataFrame:
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             records = np.empty(batch.num_rows, _RECORD)
-            for name in ("node", *NEAR, "size"):
+            for name in ("node", "fp", "fp2", "size"):
                 records[name] = batch.column(name).to_numpy()
             segments = np.frombuffer(b"".join(batch.column("segments").to_pylist()), "<u2").reshape(-1, count)
             for k in range(count):
@@ -327,16 +325,17 @@ def close_buckets(each: DataFrame, rows: int, similarity: float) -> DataFrame:
         found = np.frombuffer(b"".join(group.column("records").to_pylist()), _RECORD)
         found = found[np.lexsort((found["node"], found["value"]))]
         label = clusters(found, apart, similarity, long_run)
-        least = np.full(len(found), np.iinfo(np.int64).max)
-        np.minimum.at(least, label, found["node"])
-        a, b = least[label], found["node"]
-        at = np.flatnonzero(a != b)
+        order = np.argsort(label, kind="stable")
+        order = order[np.bincount(label, minlength=len(label))[label[order]] > 1]
+        out, at = found[order], np.unique(label[order], return_index=True)[1]
+        members = np.split(out["node"], at[1:]) if len(at) else []
+        names = np.array([xxhash.xxh64_intdigest(m.tobytes()) for m in members], np.uint64).view(np.int64)
+        bucket = np.repeat(names, [len(m) for m in members]) if len(members) else names
         give_back()
-        return pa.table({"a": pa.array(a[at], pa.int64()), "b": pa.array(b[at], pa.int64())})
+        return pa.table({"bucket": pa.array(bucket, pa.int64()), **{c: pa.array(np.ascontiguousarray(out[c])) for c in ("node", "fp", "fp2", "size")}})
 
-    dealt = each.select("node", *NEAR, "size", "segments").mapInArrow(frugal(deal), "k int, part int, records binary")
-    edges = dealt.groupBy("k", "part").applyInArrow(search, "a long, b long").distinct()
-    return components(edges).withColumnRenamed("root", "bucket")
+    dealt = each.select("node", "fp", "fp2", "size", "segments").mapInArrow(frugal(deal), "k int, part int, records binary")
+    return dealt.groupBy("k", "part").applyInArrow(search, "bucket long, node long, fp long, fp2 long, size int").distinct()
 
 
 def similar(named: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
@@ -357,22 +356,22 @@ def similar(named: DataFrame, similarity: float = 0.8, shingle: int = 5) -> Data
             for lo in range(0, batch.num_rows, 500):
                 part = batch.slice(lo, 500)
                 made = [sketch(t.as_py() or "", shingle, count, width) for t in part.column(2)]
-                types = [pa.int64()] * len(NEAR) + [pa.binary(), pa.int32(), pa.binary()]
-                own = [pa.array(c, t) for c, t in zip(zip(*made, strict=True), types, strict=True)]
-                yield pa.RecordBatch.from_arrays([*part.columns, *own], names=["id", "key", "text", *NEAR, "whole", "size", "segments"])
+                kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary())
+                own = [pa.array(c, k) for c, k in zip(zip(*made, strict=True), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([*part.columns, *own], names=["id", "key", "text", "fp", "fp2", "whole", "size", "segments"])
 
-    kinds = f"id {named.schema['id'].dataType.simpleString()}, key long, text string, fp long, fp2 long, fp3 long, whole binary, size int, segments binary"
+    kinds = f"id {named.schema['id'].dataType.simpleString()}, key long, text string, fp long, fp2 long, whole binary, size int, segments binary"
     rows = stored(small_batches(named).mapInArrow(frugal(cut), kinds).withColumn("row", F.monotonically_increasing_id()), "sketches")
     nodes = stored(rows.groupBy("whole").agg(F.min("row").alias("node")), "nodes")
     # A set that is not similar to itself with one shingle more is similar to no other.
     able = rows.where(F.col("size") >= F.lit(float(similarity)) * (F.col("size") + 1))
     each = able.join(nodes.select(F.col("node").alias("row")), "row", "left_semi").withColumnRenamed("row", "node")
-    buckets = stored(close_buckets(each, total, similarity).join(each.select("node", *NEAR, "size"), "node"), "buckets")
-    pivot = buckets.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("node").alias("h"), "node", *NEAR, "size")).alias("p"), F.count("*").alias("n"))
-    pivot = stored(pivot.select("bucket", *[F.col(f"p.{c}").alias(f"a_{c}") for c in (*NEAR, "size")], F.col("p.node").alias("a"), "n"), "pivots")
+    buckets = stored(close_buckets(each, total, similarity), "buckets")
+    pivot = buckets.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("node").alias("h"), "node", "fp", "fp2", "size")).alias("p"), F.count("*").alias("n"))
+    pivot = stored(pivot.select("bucket", *[F.col(f"p.{c}").alias(f"a_{c}") for c in ("fp", "fp2", "size")], F.col("p.node").alias("a"), "n"), "pivots")
     shared = stored(buckets.join(pivot, "bucket"), "shared")
-    bits = [F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(c))) for c in NEAR]
-    open_ = (bits[0] <= apart[0]) & (functools.reduce(lambda x, y: x + y, bits) <= apart[1]) & (F.least("a_size", "size") >= F.greatest("a_size", "size") * similarity)
+    first, second = (F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(c))) for c in ("fp", "fp2"))
+    open_ = (first <= apart[0]) & (first + second <= apart[1]) & (F.least("a_size", "size") >= F.greatest("a_size", "size") * similarity)
     pairs = shared.where(open_ & (F.col("a") != F.col("node"))).select("a", F.col("node").alias("b")).distinct()
     # The texts of all that share a bucket, fetched once: what follows moves no others.
     members = shared.select(F.col("node").alias("row")).distinct()
@@ -381,13 +380,13 @@ def similar(named: DataFrame, similarity: float = 0.8, shingle: int = 5) -> Data
     discard(buckets, pivot)
     labels = stored(components(linked), "labels")
     # The pivot has settled a bucket of two.
-    rooted = shared.where("n > 2").select("bucket", "node", *NEAR, "size").join(labels, "node", "left")
+    rooted = shared.where("n > 2").select("bucket", "node", "fp", "fp2", "size").join(labels, "node", "left")
     rooted = stored(rooted.withColumn("root", F.coalesce("root", "node")), "rooted")
     by_root = stored(rooted.groupBy("bucket", "root").agg(F.count("*").alias("n")), "by_root")
     mixed = by_root.groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("most"), F.count("*").alias("roots"))
     mixed = stored(mixed.where("roots > 1").drop("roots"), "mixed")
     few = rooted.join(mixed.where(F.col("n") <= SMALL_BUCKET).select("bucket"), "bucket", "left_semi")
-    others = few.select("bucket", F.col("node").alias("a"), *[F.col(c).alias(f"a_{c}") for c in (*NEAR, "size", "root")])
+    others = few.select("bucket", F.col("node").alias("a"), *[F.col(c).alias(f"a_{c}") for c in ("fp", "fp2", "size", "root")])
     more = few.join(others, "bucket").where("a < node").where(open_ & (F.col("a_root") != F.col("root"))).select("a", F.col("node").alias("b")).distinct()
     found = [linked, _verified(texts, more, similarity, shingle)]
     large = stored(mixed.where(F.col("n") > SMALL_BUCKET), "large")
