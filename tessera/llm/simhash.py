@@ -190,6 +190,8 @@ WIDTH, MISSED = 12, 1e-4
 DEVIATIONS = 4.6
 #: Rows with one segment beyond which they are compared stray by stray, not pair by pair.
 LONG_RUN = 4096
+#: Indexes searched first. Those they join count as one in the others.
+FIRST = 8
 _RECORD = np.dtype([("node", "<i8"), ("fp", "<i8"), ("fp2", "<i8"), ("size", "<i4"), ("value", "<u2")])
 #: Members up to which the open pairs of a bucket are listed; a larger one is
 #: compared in blocks of so many members a side.
@@ -248,8 +250,9 @@ def _unite(label: np.ndarray, x: np.ndarray, y: np.ndarray) -> None:
 
 
 def clusters(rows: np.ndarray, apart: tuple[int, int], similarity: float, long_run: int) -> np.ndarray:
-    """A label for each row, sorted by ``value``: rows of one value that a chain of close pairs joins have the same.
+    """A label for each row, sorted by ``value`` and ``node``: rows of one value that a chain of close pairs joins have the same.
 
+    Rows of one value and node have the same from the start.
     Close means at most ``apart`` bits in the first 64 and in all 128, and sizes that allow the similarity.
     Rows of a short run are compared pair by pair, all runs at a time. In a long
     one, some rows at a time are compared with the whole run, until all others
@@ -257,7 +260,8 @@ def clusters(rows: np.ndarray, apart: tuple[int, int], similarity: float, long_r
     """
     value, size = rows["value"].copy(), rows["size"].astype(np.float64)
     fp, fp2 = (rows[c].copy().view(np.uint64) for c in ("fp", "fp2"))
-    total, label = len(rows), np.arange(len(rows))
+    total, again = len(rows), (value[1:] == value[:-1]) & (rows["node"][1:] == rows["node"][:-1])
+    label = np.maximum.accumulate(np.where(np.r_[False, again][:total], 0, np.arange(total)))
 
     def close(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         first = np.bitwise_count(fp[x] ^ fp[y])
@@ -295,13 +299,15 @@ def clusters(rows: np.ndarray, apart: tuple[int, int], similarity: float, long_r
     return label
 
 
-def close_buckets(each: DataFrame, rows: int, similarity: float) -> DataFrame:
-    """bucket, node, fp, fp2, size: multi-index search over (node, fp, fp2, size, segments).
+def close_buckets(each: DataFrame, rows: int, similarity: float, indexes: range | None = None) -> DataFrame:
+    """bucket, least, node: multi-index search over (node, fp, fp2, size, segments).
 
-    Each segment of the long SimHash is an index of its own. Nodes that share a
-    segment are compared by Hamming distance, and those joined by close pairs
-    make a bucket; one that several indexes find alike is given once. Nodes with
-    nobody close are in none. Records go to tasks packed, by index and by the
+    Each segment of the long SimHash is an index of its own; ``indexes`` names
+    some of them. Rows that share a segment are compared by Hamming distance, and
+    the nodes of those joined by close pairs make a bucket, whose smallest is
+    ``least``; one that several indexes find alike is given once. Nodes with
+    nobody close are in none. A node may have several rows, which need no
+    comparison with one another. Records go to tasks packed, by index and by the
     low bits of the segment.
     """
     count, width, apart = index_shape(rows, similarity)
@@ -313,7 +319,7 @@ def close_buckets(each: DataFrame, rows: int, similarity: float) -> DataFrame:
             for name in ("node", "fp", "fp2", "size"):
                 records[name] = batch.column(name).to_numpy()
             segments = np.frombuffer(b"".join(batch.column("segments").to_pylist()), "<u2").reshape(-1, count)
-            for k in range(count):
+            for k in indexes or range(count):
                 records["value"] = segments[:, k]
                 part = segments[:, k] % parts if parts < 1 << 16 else segments[:, k]
                 order = np.argsort(part, kind="stable")
@@ -325,17 +331,46 @@ def close_buckets(each: DataFrame, rows: int, similarity: float) -> DataFrame:
         found = np.frombuffer(b"".join(group.column("records").to_pylist()), _RECORD)
         found = found[np.lexsort((found["node"], found["value"]))]
         label = clusters(found, apart, similarity, long_run)
-        order = np.argsort(label, kind="stable")
-        order = order[np.bincount(label, minlength=len(label))[label[order]] > 1]
-        out, at = found[order], np.unique(label[order], return_index=True)[1]
-        members = np.split(out["node"], at[1:]) if len(at) else []
+        order = np.lexsort((found["node"], label))
+        label, node = label[order], found["node"][order]
+        once = np.flatnonzero(np.r_[True, (label[1:] != label[:-1]) | (node[1:] != node[:-1])][: len(label)])
+        label, node = label[once], node[once]
+        several = np.bincount(label, minlength=1)[label] > 1
+        label, node = label[several], node[several]
+        at = np.unique(label, return_index=True)[1]
+        members = np.split(node, at[1:]) if len(at) else []
         names = np.array([xxhash.xxh64_intdigest(m.tobytes()) for m in members], np.uint64).view(np.int64)
-        bucket = np.repeat(names, [len(m) for m in members]) if len(members) else names
+        lengths = [len(m) for m in members]
+        bucket, least = (np.repeat(x, lengths) if len(at) else node for x in (names, node[at]))
         give_back()
-        return pa.table({"bucket": pa.array(bucket, pa.int64()), **{c: pa.array(np.ascontiguousarray(out[c])) for c in ("node", "fp", "fp2", "size")}})
+        return pa.table({"bucket": pa.array(bucket, pa.int64()), "least": pa.array(least, pa.int64()), "node": pa.array(node, pa.int64())})
 
     dealt = each.select("node", "fp", "fp2", "size", "segments").mapInArrow(frugal(deal), "k int, part int, records binary")
-    return dealt.groupBy("k", "part").applyInArrow(search, "bucket long, node long, fp long, fp2 long, size int").distinct()
+    return dealt.groupBy("k", "part").applyInArrow(search, "bucket long, least long, node long").distinct()
+
+
+def close_families(each: DataFrame, rows: int, similarity: float) -> DataFrame:
+    """bucket, node, fp, fp2, size: the buckets of all indexes, joined where they share a node.
+
+    So a node is in one at most, however many indexes find it, and all pairs that
+    share a bucket of an index share one here. The first indexes join most of a
+    family of near copies; to the others it is one node, so that they give only
+    what is new.
+    """
+    count, _, _ = index_shape(rows, similarity)
+
+    def joined(each: DataFrame, indexes: range) -> DataFrame:
+        found = close_buckets(each, rows, similarity, indexes).where("least <> node")
+        return stored(components(found.select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()), "families")
+
+    first = joined(each, range(min(FIRST, count))).withColumnRenamed("root", "early")
+    early = each.join(first, "node", "left").withColumn("family", F.coalesce("early", "node"))
+    if count > FIRST:
+        later = joined(early.drop("node", "early").withColumnRenamed("family", "node"), range(FIRST, count))
+    else:
+        later = first.limit(0).withColumnRenamed("early", "root")
+    both = early.select("node", "fp", "fp2", "size", "early", "family").join(later.withColumnRenamed("node", "family"), "family", "left")
+    return both.where("early is not null or root is not null").select(F.coalesce("root", "family").alias("bucket"), "node", "fp", "fp2", "size")
 
 
 def similar(named: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
@@ -343,7 +378,8 @@ def similar(named: DataFrame, similarity: float = 0.8, shingle: int = 5) -> Data
 
     Two rows link when the Jaccard similarity of their sets of word shingles is
     ``similarity`` or more, computed from the texts. Candidates come from the
-    multi-index search of their SimHash. Equal sets are one node. Each bucket is
+    multi-index search of their SimHash. Equal sets are one node, and a node is in
+    one bucket, that of its family over all indexes. Each bucket is
     first compared with one pivot. Where that leaves it in several components,
     members of different ones are all compared: pair by pair in a small bucket,
     in blocks in a large one, so no candidate is left out.
@@ -366,7 +402,7 @@ def similar(named: DataFrame, similarity: float = 0.8, shingle: int = 5) -> Data
     # A set that is not similar to itself with one shingle more is similar to no other.
     able = rows.where(F.col("size") >= F.lit(float(similarity)) * (F.col("size") + 1))
     each = able.join(nodes.select(F.col("node").alias("row")), "row", "left_semi").withColumnRenamed("row", "node")
-    buckets = stored(close_buckets(each, total, similarity), "buckets")
+    buckets = stored(close_families(each, total, similarity), "buckets")
     pivot = buckets.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("node").alias("h"), "node", "fp", "fp2", "size")).alias("p"), F.count("*").alias("n"))
     pivot = stored(pivot.select("bucket", *[F.col(f"p.{c}").alias(f"a_{c}") for c in ("fp", "fp2", "size")], F.col("p.node").alias("a"), "n"), "pivots")
     shared = stored(buckets.join(pivot, "bucket"), "shared")
