@@ -45,6 +45,7 @@ class WordCounter:
 
     def __init__(self, path: str, proven: frozenset[str] | None = None, wide: frozenset[str] | None = None):
         self.tokenizer = tokenizers.Tokenizer.from_file(path)
+        self.merge, self.characters = self.tokenizer.model.tokenize, byte_characters()
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         # The shortcut below holds for this kind of file alone.
@@ -52,6 +53,8 @@ class WordCounter:
         split = spec["pre_tokenizer"]["pretokenizers"][0]
         if kinds != ["NFC", "Replace", "Lowercase"] or not split["invert"] or split["behavior"] != "Removed" or spec["model"]["end_of_word_suffix"] is None:
             raise ValueError(f"{path} is not a lower-casing word BPE file")
+        if [(n["type"], n["add_prefix_space"], n["use_regex"]) for n in spec["pre_tokenizer"]["pretokenizers"][1:]] != [("ByteLevel", False, False)]:
+            raise ValueError(f"{path} does not spell pieces in byte characters")
         self.pattern = regex.compile(split["pattern"]["Regex"])
         self.cut = self.pattern.findall
         self.special = [t["content"] for t in spec["added_tokens"]]
@@ -67,6 +70,10 @@ class WordCounter:
     def alone(self, pieces: list[str]) -> list[int]:
         return [len(e.ids) for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
 
+    def merged(self, piece: str) -> int:
+        """Tokens of a pre-token. It keeps its form and is not cut again, so the model alone gives them."""
+        return len(self.merge("".join([self.characters[b] for b in piece.encode()])))
+
     def prove_characters(self) -> frozenset[str]:
         """Characters beyond the plain ones that the library changes and cuts as Python does.
 
@@ -120,7 +127,7 @@ class WordCounter:
             if len(self.known) > REMEMBERED:
                 self.forget()
             new = [p for p in counts if p not in self.known]
-            self.known.update(zip(new, self.alone(new), strict=True))
+            self.known.update(zip(new, map(self.merged, new), strict=True))
             total += sum(map(mul, map(self.known.__getitem__, counts), counts.values()))
         return total
 
